@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textguard.llm import mixing, quality_rules
+from textguard.llm import mixing, near_dedup, paragraph_dedup, pieces, quality_rules
 from textguard.llm.common import table
 
 
@@ -19,6 +19,18 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score_quality(table(spark, sf_dir, "documents"))
 
 
+def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraph_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_curriculum_mix, op3_quality_rules)
+    f.__name__: f for f in (op2_curriculum_mix, op3_quality_rules, op4_repeated_passages, op5_near_duplicates, op8_sentencepiece)
 }
