@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textguard.llm import mixing, quality_rules
+from textguard.llm import mixing, near_dedup, paragraph_dedup, pieces, quality_rules
 from textguard.llm.common import table, written
 
 
@@ -16,13 +16,28 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality_rules.filter_quality(docs)
 
 
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dedup.drop_near_duplicates(docs)
+
+
+def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return paragraph_dedup.remove_repeats(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(docs)
 
 
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pieces.encode_documents(docs)
+
+
 STAGES = [
     ("quality_rules", keep_quality),
+    ("near_duplicates", drop_near_duplicates),
+    ("repeated_passages", remove_repeats),
     ("mix_sources", mix_sources),
+    ("sentencepiece", encode),
 ]
 
 #: The stages train models and hash texts in ways that SQL cannot express.
