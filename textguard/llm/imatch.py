@@ -1,6 +1,7 @@
 """I-Match fingerprints over randomised lexicons.
 
-Document frequencies of all terms (words) are counted over all documents. The
+Terms are runs of letters and digits in lower case. Document frequencies of all
+terms are counted over all documents. The
 lexicon holds the terms within an inverse-document-frequency band; its rare
 end, a share of the documents, bounds the lexicon's size by the mean number of
 a document's distinct terms over that share, whatever the number of documents.
@@ -10,7 +11,7 @@ A fingerprint has SUBSETS hashes. Each is of the document's distinct terms, in
 sorted order, that a random subset of the lexicon keeps. A subset keeps a term
 with the probability 2**-scale, and a document's scale makes that about one of
 its own terms: so few that a hash often survives an edit. The hashes of the
-next scale follow, so that documents on both sides of a step can be compared.
+next scales follow, so that documents of different sizes can be compared.
 Likeness is the share of hashes that agree, of those where either text has a
 term; its expectation is near the Jaccard similarity of the lexicon terms.
 
@@ -25,6 +26,7 @@ empty result; other columns are not read.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textguard.llm.shingles import WordHashes, chunks, hashed, mix
+from textguard.llm.shingles import WordHashes, chunks, mix
 
 #: The band, as shares of all documents: a term in over half of them is no
 #: mark, and one in fewer than 1 of 4,096 is left out.
@@ -40,15 +42,19 @@ MOST_SHARE = 1 / 2
 LEAST_SHARE = 1 / 4096
 MOST_TERMS = 2_000_000
 SUBSETS = 32
-EMPTY = "0000"
+#: How many scales a fingerprint holds: its own and those that follow.
+SCALES = 3
+_TERM = re.compile(r"[^\W_]+")
 _LAST = 2**63 - 1
 _SEEDS = mix(np.arange(1, SUBSETS + 1, dtype=np.uint64))
 
 
 def distinct_terms(texts: list, cache: WordHashes) -> tuple[np.ndarray, np.ndarray]:
     """(text, term) for the distinct terms of each text, sorted by both; terms are 64-bit hashes."""
-    flat, starts = hashed(texts, cache)
-    owner = np.repeat(np.arange(len(texts)), np.diff(starts))
+    lists = [_TERM.findall(t.lower()) if t else [] for t in texts]
+    n = np.fromiter(map(len, lists), np.int64, len(lists))
+    flat = np.fromiter((cache[w] for x in lists for w in x), np.uint64, int(n.sum()))
+    owner = np.repeat(np.arange(len(texts)), n)
     order = np.lexsort((flat, owner))
     owner, flat = owner[order], flat[order]
     new = np.concatenate([[True], (owner[1:] != owner[:-1]) | (flat[1:] != flat[:-1])]) if len(flat) else np.zeros(0, bool)
@@ -94,8 +100,8 @@ def lexicon(docs: DataFrame, least: float = LEAST_SHARE, most: float = MOST_SHAR
 
 
 def fingerprints(texts: list, lexicon: np.ndarray, cache: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(scale, hashes, count of terms) of each text. hashes[i, 0] are those of
-    its own scale and hashes[i, 1] of the next; 0 where a subset keeps none."""
+    """(scale, hashes, count of terms) of each text. hashes[i, j] are those of
+    its own scale plus j; 0 where a subset keeps none."""
     owner, term = distinct_terms(texts, cache)
     n = len(texts)
     if len(lexicon):
@@ -105,16 +111,15 @@ def fingerprints(texts: list, lexicon: np.ndarray, cache: WordHashes) -> tuple[n
         owner, term = owner[use], term[use]
     count = np.bincount(owner, minlength=n)
     scale = np.round(np.log2(np.maximum(count, 1))).astype(np.int64)
-    out = np.zeros((n, 2, SUBSETS), np.uint64)
-    bound = np.uint64(2**64 - 1) >> scale.astype(np.uint64)
-    own, half = bound[owner], (bound >> np.uint64(1))[owner]
+    out = np.zeros((n, SCALES, SUBSETS), np.uint64)
+    bounds = [(np.uint64(2**64 - 1) >> np.minimum(scale + j, 63).astype(np.uint64))[owner] for j in range(SCALES)]
     for k in range(SUBSETS):
         draw = mix(term ^ _SEEDS[k])
-        kept = np.flatnonzero(draw <= own)
-        # in sorted order of the terms; a sum of mixed terms, as sets are the same in any order
-        np.add.at(out[:, 0, k], owner[kept], mix(term[kept]))
-        kept = kept[draw[kept] <= half[kept]]
-        np.add.at(out[:, 1, k], owner[kept], mix(term[kept]))
+        kept = np.flatnonzero(draw <= bounds[0])
+        for j in range(SCALES):
+            kept = kept[draw[kept] <= bounds[j][kept]]
+            # a sum over the sorted terms: sets are the same in any order
+            np.add.at(out[:, j, k], owner[kept], mix(term[kept]))
     some = out != 0
     return scale, np.where(some, out % np.uint64(65535) + np.uint64(1), np.uint64(0)), count
 
@@ -123,17 +128,17 @@ def likeness(a: tuple, b: tuple) -> np.ndarray:
     """The likeness of the fingerprints of two equally long lists of texts."""
     (sa, ha, na), (sb, hb, nb) = a, b
     rows = np.arange(len(sa))
-    x, y = ha[rows, np.clip(sb - sa, 0, 1)], hb[rows, np.clip(sa - sb, 0, 1)]
+    x, y = ha[rows, np.clip(sb - sa, 0, SCALES - 1)], hb[rows, np.clip(sa - sb, 0, SCALES - 1)]
     either = ((x != 0) | (y != 0)).sum(axis=1)
     agree = ((x != 0) & (x == y)).sum(axis=1)
     equal = (sa == sb) & (ha == hb).all(axis=(1, 2)) & ((na == 0) == (nb == 0))
-    return np.where(equal, 1.0, np.where(np.abs(sa - sb) > 1, 0.0, agree / np.maximum(either, 1)))
+    return np.where(equal, 1.0, np.where(np.abs(sa - sb) >= SCALES, 0.0, agree / np.maximum(either, 1)))
 
 
 def as_text(scale: np.ndarray, hashes: np.ndarray, count: np.ndarray) -> list[str]:
     """Two digits for the scale, then four hexadecimal digits for each hash ('' without a term)."""
     raw = hashes.astype(">u2").tobytes()
-    step = 2 * SUBSETS * 2
+    step = SCALES * SUBSETS * 2
     return [f"{s:02d}{raw[i * step : (i + 1) * step].hex()}" if c else "" for i, (s, c) in enumerate(zip(scale.tolist(), count.tolist(), strict=True))]
 
 

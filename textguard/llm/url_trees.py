@@ -4,7 +4,7 @@ Rules name a host and the beginning of a path; the longest that fits decides.
 The URLs that rules decide are the labelled ones: boosted trees learn from them
 and judge the rest by lexical features alone: lengths, depth, digits, entropy,
 parameters, and statistics of the host's suffix (its frequency in the corpus
-and the blocked share of its labelled URLs, without the URL's own label).
+and the smoothed blocked share of its labelled URLs).
 
 Features are DataFrame expressions and suffix statistics cover all pages. Trees
 are fitted on at most SAMPLE_ROWS labelled URLs. Suffix statistics are
@@ -98,13 +98,11 @@ def with_suffix_statistics(df: DataFrame) -> DataFrame:
     per = df.groupBy("_suffix").agg(F.count("*").alias("_n"), F.count("_verdict").alias("_labelled"), F.count(F.when(F.col("_verdict") == "block", 1)).alias("_blocked"))
     small = per.limit(MOST_SUFFIXES + 1).count() <= MOST_SUFFIXES
     df = df.join(F.broadcast(per) if small else per, "_suffix")
-    own = F.when(F.col("_verdict").isNotNull(), 1).otherwise(0)
-    own_block = F.when(F.col("_verdict") == "block", 1).otherwise(0)
     return df.withColumns(
         {
             "suffix_log_count": F.log1p("_n"),
-            # two pseudo-labels keep a rare suffix near one half
-            "suffix_blocked": (F.col("_blocked") - own_block + 1.0) / (F.col("_labelled") - own + 2.0),
+            # ten pseudo-labels keep a rare suffix, and so a URL's own label, near one half
+            "suffix_blocked": (F.col("_blocked") + 5.0) / (F.col("_labelled") + 10.0),
         }
     )
 
