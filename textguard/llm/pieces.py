@@ -29,7 +29,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from textguard.llm.shingles import chunks, list_array
 
@@ -40,8 +39,8 @@ MARK = "▁"
 class Pieces:
     """The pieces of a SentencePiece model file and the searches over them."""
 
-    MOST_WORDS = 400_000
-    MOST_PAIRS = 2_000_000
+    MOST_WORDS = 120_000
+    MOST_PAIRS = 250_000
     LONG_WORD = 64
 
     def __init__(self, model: bytes):
@@ -255,7 +254,19 @@ def _with(kind, column: str) -> str:
 
 
 def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """One row per document: doc_id, n_tokens, ids, and whether decoding the ids gives the text."""
+    """One row per document: doc_id, n_tokens, ids, and whether decoding the ids
+    gives the text. Both ways in one task, so that a text crosses to Python once."""
     model = read_model(path)
-    both = decode(encode(docs.select("doc_id", "text"), model), model)
-    return both.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), "ids", F.col("text").eqNullSafe(F.col("decoded")).alias("exact"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = loaded(model)
+        for batch in batches:
+            for rows, texts in chunks(batch, most_chars=500_000):
+                ids = [None if ws is None else [i for w in ws for i in w] for ws in pieces.encode(texts)]
+                exact = [t is None if x is None else t is not None and pieces.decode(x) == t for t, x in zip(texts, ids, strict=True)]
+                counts = pa.array([len(x or ()) for x in ids], pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column("doc_id"), counts, pa.array(ids, pa.list_(pa.int32())), pa.array(exact)], names=["doc_id", "n_tokens", "ids", "exact"]
+                )
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, exact boolean")
