@@ -21,7 +21,7 @@ _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 class WordHashes(dict):
     """64-bit hashes of words, remembered up to a bound."""
 
-    MOST = 500_000
+    MOST = 150_000
 
     def __missing__(self, word: str) -> int:
         if len(self) >= self.MOST:
