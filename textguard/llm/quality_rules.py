@@ -29,18 +29,19 @@ MIN_WORDS = 20
 SYMBOLS = "#*$%&|<>"
 
 #: name, the measure as SQL over the features, above which it votes bad and
-#: below which good (or the other way round where bad < good). Between: abstains.
+#: below which good (or the other way round where bad < good). Between, or without a
+#: word: abstains.
 RULES = (
-    ("symbols", "n_symbols / n_words", 0.1, 0.03),
-    ("letters", "n_letters / word_chars", 0.75, 0.88),
-    ("plain_words", "n_plain / n_words", 0.75, 0.9),
-    ("repeats", "n_repeat_words / n_words", 0.25, 0.1),
-    ("stutter", "n_stutter / n_words", 0.25, 0.05),
-    ("capitals", "n_capitals / word_chars", 0.5, 0.2),
-    ("exclaims", "n_exclaims / n_words", 0.3, 0.1),
-    ("dup_lines", "n_dup_lines / n_lines", 0.5, 0.1),
-    ("variety", "n_distinct / sqrt(n_words)", 1.5, 3.0),
-    ("word_length", "abs(word_chars / n_words - 6)", 6.0, 3.0),
+    ("symbols", "n_symbols / nullif(n_words, 0)", 0.1, 0.03),
+    ("letters", "n_letters / nullif(word_chars, 0)", 0.75, 0.88),
+    ("plain_words", "n_plain / nullif(n_words, 0)", 0.75, 0.9),
+    ("repeats", "n_repeat_words / nullif(n_words, 0)", 0.25, 0.1),
+    ("stutter", "n_stutter / nullif(n_words, 0)", 0.25, 0.05),
+    ("capitals", "n_capitals / nullif(word_chars, 0)", 0.5, 0.2),
+    ("exclaims", "n_exclaims / nullif(n_words, 0)", 0.3, 0.1),
+    ("dup_lines", "n_dup_lines / nullif(n_lines, 0)", 0.5, 0.1),
+    ("variety", "n_distinct / nullif(sqrt(n_words), 0)", 1.5, 3.0),
+    ("word_length", "abs(word_chars / nullif(n_words, 0) - 6)", 6.0, 3.0),
 )
 N_PATTERNS = 3 ** len(RULES)
 
