@@ -39,8 +39,8 @@ MARK = "▁"
 class Pieces:
     """The pieces of a SentencePiece model file and the searches over them."""
 
-    MOST_WORDS = 120_000
-    MOST_PAIRS = 250_000
+    MOST_WORDS = 250_000
+    MOST_PAIRS = 500_000
     LONG_WORD = 64
 
     def __init__(self, model: bytes):
