@@ -72,7 +72,11 @@ class Pieces:
                 self.scores[name] = sp.get_score(i)
                 self.bytes.append(name.replace(MARK, " ").encode())
         self.unknown = sp.unk_id()
-        self.longest = max(map(len, self.ids))
+        # how long the pieces are that end in two given characters, longest first
+        ends: dict[str, set[int]] = {}
+        for name in self.ids:
+            ends.setdefault(name[-2:], set()).add(len(name))
+        self.lengths = {k: tuple(sorted(v | {1}, reverse=True)) for k, v in ends.items() if len(k) == 2}
         self.least = min(self.scores.values(), default=0.0) - 10
         if any(MARK in x.lstrip(MARK) for x in self.ids):
             raise ValueError("models with pieces that span words are not supported")
@@ -106,7 +110,8 @@ class Pieces:
 
     def search(self, words: list[str]) -> Iterator[list[str]]:
         """The pieces of each of the sorted words."""
-        scores, merges, longest = self.scores, self.merges, self.longest
+        scores, merges, lengths, stay, stays = self.scores, self.merges, self.lengths, self.stay, self.stays
+        only = (1,)
         # of each prefix of the word before: its score, and its last piece
         total: list[float] = [0.0]
         last: list[str] = [""]
@@ -120,17 +125,22 @@ class Pieces:
             del total[shared + 1 :], last[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
                 best, piece = float("-inf"), word[end - 1]
-                for begin in range(max(0, end - longest), end):
+                for n in lengths.get(word[end - 2 : end], only) if end > 1 else only:
+                    begin = end - n
+                    if begin < 0:
+                        continue
                     t = word[begin:end]
                     s = scores.get(t)
                     if s is None:
-                        if begin < end - 1:
+                        if n > 1:
                             continue
                         s = self.least  # a character that is no piece
                     if merges:
-                        if total[begin] == 0.0 and (begin == 0 or self.stays(last[begin], t)):
-                            best, piece = 0.0, t
-                            break
+                        if total[begin] == 0.0:
+                            ok = begin == 0 or stay.get((last[begin], t))
+                            if ok or ok is None and stays(last[begin], t):
+                                best, piece = 0.0, t
+                                break
                     elif total[begin] + s > best:
                         best, piece = total[begin] + s, t
                 total.append(best)
