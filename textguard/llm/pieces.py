@@ -39,7 +39,7 @@ MARK = "▁"
 class Pieces:
     """The pieces of a SentencePiece model file and the searches over them."""
 
-    MOST_WORDS = 250_000
+    MOST_WORDS = 125_000
     MOST_PAIRS = 500_000
     LONG_WORD = 64
 
@@ -84,7 +84,9 @@ class Pieces:
         self.line_ends = not any("\n" in x for x in self.ids)
         self.split = re.compile(f"\n+|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+" if self.line_ends else f"{MARK}*[^{MARK}]+|{MARK}+")
         self.stay: dict[tuple[str, str], bool] = {}
+        # words seen lately, and those of before: words still in use survive
         self.known: dict[str, tuple[int, ...]] = {}
+        self.before: dict[str, tuple[int, ...]] = {}
 
     def merged(self, text: str) -> list[str]:
         """The pieces that byte-pair merging leaves: always the best-scored merge, leftmost first."""
@@ -167,9 +169,11 @@ class Pieces:
         """The ids of each text, word by word."""
         marked = [None if t is None else self.split.findall(self.prefix + t.replace(" ", MARK)) if t else [] for t in texts]
         if len(self.known) > self.MOST_WORDS:
-            self.known.clear()
-        fresh = sorted({w for ws in marked if ws for w in ws if w not in self.known})
-        known = self.known
+            self.before, self.known = self.known, {}
+        known, before = self.known, self.before
+        unseen = {w for ws in marked if ws for w in ws if w not in known}
+        known.update((w, before[w]) for w in unseen if w in before)
+        fresh = sorted(w for w in unseen if w not in known)
         direct = [w for w in fresh if self.merges and w.startswith(MARK * 2)]
         for w in direct:
             # the run of marks merges by itself but for its last, which may go with the word
@@ -271,7 +275,7 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = loaded(model)
         for batch in batches:
-            for rows, texts in chunks(batch, most_chars=500_000):
+            for rows, texts in chunks(batch, most_chars=1_000_000):
                 ids = [None if ws is None else [i for w in ws for i in w] for ws in pieces.encode(texts)]
                 exact = [t is None if x is None else t is not None and pieces.decode(x) == t for t, x in zip(texts, ids, strict=True)]
                 counts = pa.array([len(x or ()) for x in ids], pa.int64())
