@@ -6,6 +6,8 @@ and what comes after it. Arrays hold one document's findings.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,7 +61,8 @@ def safe_placeholder(f: DataFrame) -> DataFrame:
     detector, category = F.col("detector"), F.col("category")
     # fixed values
     out = (
-        F.when(detector == "email", "example@example.com")
+        F.when(detector == "databaseUrl", F.concat(F.lower(F.substring_index("original_value", "://", 1)), F.lit("://dummylink")))
+        .when(detector == "email", "example@example.com")
         .when(detector == "phoneNumber", "202-555-0100")
         .when(detector == "internalHostname", "example.internal")
         .when(detector == "privateKey", "Example_Private_Key")
@@ -77,6 +80,27 @@ def safe_placeholder(f: DataFrame) -> DataFrame:
     return f.withColumn("placeholder", out)
 
 
+def safe_replaced(docs: DataFrame, scan: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """doc_id, text: findings replaced by placeholders, then what a second scan of the
+    outcome still finds. Equal values of a document get one placeholder, that of the
+    last of them; the second pass keeps to it."""
+
+    def placed(findings: DataFrame) -> DataFrame:
+        rows = safe_placeholder(exploded(resolved(findings)))
+        return rows.select("doc_id", "start", "end", "original_value", "placeholder")
+
+    def applied(texts: DataFrame, findings: DataFrame) -> DataFrame:
+        spans = findings.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "placeholder"))).alias("findings"))
+        return redact(texts, spans, "placeholder")
+
+    first = placed(scan(docs.select("doc_id", "text")))
+    memo = first.groupBy("doc_id", "original_value").agg(F.max_by("placeholder", "start").alias("_same"))
+    chosen = lambda rows: rows.join(memo, ["doc_id", "original_value"], "left").withColumn("placeholder", F.coalesce("_same", "placeholder"))
+    once = applied(docs, chosen(first))
+    touched = once.join(first.select("doc_id").distinct(), "doc_id", "left_semi")
+    return applied(once, chosen(placed(scan(touched))))
+
+
 def summary(findings: DataFrame) -> DataFrame:
     """A row for each document with findings: highest severity, confidence level,
     categories in order of first appearance (20 at most, as history keeps them), count."""

@@ -61,6 +61,10 @@ def safe_placeholder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("detector", "category", "placeholder").agg(F.count("*").alias("n"))
 
 
+def safe_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.safe_replaced(inputs(spark, sf_dir), detect.scan)
+
+
 def allowlist_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = detect.detect_assignment(inputs(spark, sf_dir)).select("doc_id", "start", "original_value")
     listed = found.where("doc_id % 3 = 0").select(S.fingerprint(F.col("original_value"), SALT).alias("fingerprint"))
@@ -211,10 +215,11 @@ def selection_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {d.key: _detector(d) for d in detect.DETECTORS}
 QUERIES["detect_assignment"] = lambda spark, sf_dir: detect.detect_assignment(inputs(spark, sf_dir))
+QUERIES["detect_json_secret"] = lambda spark, sf_dir: detect.detect_json_secret(inputs(spark, sf_dir))
 QUERIES |= {
     f.__name__: f
     for f in (
-        scan_all, scan_toggled, resolve_overlaps, history_summary, redact, safe_placeholder, allowlist_anti, email_candidates,
+        scan_all, scan_toggled, resolve_overlaps, history_summary, redact, safe_placeholder, safe_replace, allowlist_anti, email_candidates,
         scalar_features, classify_key, placeholder_filter, char_freq, bounded_preview, basic_segments, token_chunks, linear_head,
         merge_predictions, overlap_flag, debounce_sessions, dedupe_consecutive, session_stats, history_retention, history_tail,
         latest_health, rate_limit, feedback_dedupe, payload_validate, site_lookup, file_format, selection_limit,
