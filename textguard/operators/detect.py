@@ -150,17 +150,17 @@ def _db_form(text: str, damaged: bool = False) -> Made:
     """Fills {scheme}, {port}, {path}, {safe} and {masked} of a form."""
 
     def make(value: Column, key: Column) -> Column:
-        path = T.db_part(value, 6)
+        path, bare = lambda: T.db_part(value, 6), lambda: value.endswith("@")
         parts = {
-            "scheme": _scheme(value), "port": F.lit("") if damaged else T.db_port(value), "path": path,
-            "safe": F.when(_scheme(value).startswith("redis"), "/0").otherwise("/sample_db"),
-            "masked": F.when((path != "") & (path != "/"), "/[DATABASE]").otherwise(""),
-            "stated": F.when(T.db_port(value) != "", "explicit-port").otherwise("default-port"),
-            "host": F.when(value.endswith("@"), "missing-host").otherwise("invalid-host"),
-            "HOST": F.when(value.endswith("@"), "MISSING HOST").otherwise("MALFORMED HOST"),
+            "scheme": lambda: _scheme(value), "port": lambda: F.lit("") if damaged else T.db_port(value), "path": path,
+            "safe": lambda: F.when(_scheme(value).startswith("redis"), "/0").otherwise("/sample_db"),
+            "masked": lambda: F.when(path().isin("", "/"), "").otherwise("/[DATABASE]"),
+            "stated": lambda: F.when(T.db_port(value) != "", "explicit-port").otherwise("default-port"),
+            "host": lambda: F.when(bare(), "missing-host").otherwise("invalid-host"),
+            "HOST": lambda: F.when(bare(), "MISSING HOST").otherwise("MALFORMED HOST"),
         }
         pieces = re.split(r"\{(\w+)\}", text)
-        return F.concat(*[parts[x] if i % 2 else F.lit(x) for i, x in enumerate(pieces)])
+        return F.concat(*[parts[x]() if i % 2 else F.lit(x) for i, x in enumerate(pieces)])
 
     return make
 
@@ -248,14 +248,16 @@ def _candidates(df: DataFrame, detectors: list[Detector], assignments: bool, in_
 
     def one(emission: int, start: Column, value: Column, near: Column, key: Column, tested: Column | None = None) -> Column:
         tested = value if tested is None else tested
-        # the array binds the password: it is worked out once
-        bound = F.array(T.db_password(value) if emission in db else tested)
-        plain = F.element_at(F.transform(bound, lambda x: F.lower(S.unwrapped(x))), 1)
+        secret = T.db_password(value) if emission in db else tested
         return F.struct(
             F.lit(emission).alias("emission"), start.alias("start"), value.alias("value"), near.alias("context"), key.alias("key"),
-            tested.alias("tested"), S.entropy(tested).alias("h"), plain.alias("plain"),
+            tested.alias("tested"), secret.alias("secret"),
         )
 
+    def finished(c: Column) -> Column:
+        own = [c[name].alias(name) for name in ("emission", "start", "value", "context", "key", "tested")]
+        return F.struct(*own, S.entropy(c["tested"]).alias("h"), F.lower(S.unwrapped(c["secret"])).alias("plain"))
+
     def around(start: Column, value: Column) -> Column:
         begin = F.greatest(start - CONTEXT, F.lit(0))
         return F.substring(text, begin + 1, start - begin + F.length(value) + CONTEXT)
@@ -298,7 +300,7 @@ def _candidates(df: DataFrame, detectors: list[Detector], assignments: bool, in_
         df = df.withColumn("_json", T.json_leaves(F.when(T.may_hold_json(text), text)))
         arrays.append(F.transform(F.filter("_json", lambda x: S.key_kind(x["key"]).isNotNull()), leaf))
     # array_compact drops the detectors that the text never met
-    found = F.flatten(F.array_compact(F.array(*arrays)))
+    found = F.transform(F.flatten(F.array_compact(F.array(*arrays))), finished)
     return df.select("doc_id", F.explode(found).alias("c")).select("doc_id", "c.*")
 
 
