@@ -9,8 +9,8 @@ shingles send one. Two documents agree in a component with the probability
 Jaccard similarity of their sets.
 
 Signatures are cut into bands; documents that agree in a band are candidates.
-Candidates are linked to the band's first document instead of to each other,
-and those that prove unlike it try again among themselves by a finer key.
+Candidates are linked to the band's most central document first; every pair of a
+band that this leaves in different components is then compared as well.
 Links are verified by the exact Jaccard similarity of the distinct shingles.
 Exact copies count as one text until the end, so a group of copies of any size
 costs as much as one of them.
@@ -24,7 +24,7 @@ empty result; other columns pass through ``drop_near_duplicates`` untouched.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +38,10 @@ from textguard.llm.shingles import WordHashes, chunks, hashed, list_array, mix,
 THRESHOLD = 0.8
 #: 25 bands of 4: two texts of similarity 0.8 miss each other once in 500,000 times.
 BANDS, ROWS = 25, 4
+#: Bits of the sketches that tell apart most sets that are unlike.
+SKETCH_BITS = 4096
+#: Members of a group that are paired in one piece of work.
+BLOCK = 256
 
 
 def prob_signatures(owner: np.ndarray, item: np.ndarray, weight: np.ndarray, n: int, m: int) -> np.ndarray:
@@ -123,14 +127,84 @@ def similar(links: DataFrame, sets: DataFrame, a: str, b: str, threshold: float)
     return x.where(F.col("_both") >= threshold * (F.size("_a") + F.size("_b") - F.col("_both"))).select(a, b)
 
 
-def star_links(members: DataFrame, keys: list[str]) -> DataFrame:
-    """Distinct links (node, rep) from the members of each group to its least node.
+def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        items = batch.column("items")
+        counts = np.diff(items.offsets.to_numpy())
+        bits = (mix(items.flatten().to_numpy().astype(np.uint64)) % np.uint64(SKETCH_BITS)).astype(np.int64)
+        parts = np.split(bits, np.cumsum(counts)[:-1])
+        sketches = [np.packbits((np.bincount(x, minlength=SKETCH_BITS) & 1).astype(np.uint8)).tobytes() for x in parts]
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(counts.astype(np.int32)), pa.array(sketches, pa.binary())], names=["node", "_w", "_s"])
+
+
+def _may_be_similar(threshold: float):
+    """A filter of pairs that loses none: every bit in which two sketches differ
+    is an item at least that one set has and the other has not."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("_sx", "_sy"))
+            differ = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            most = (batch.column("_wx").to_numpy() + batch.column("_wy").to_numpy()) * ((1 - threshold) / (1 + threshold))
+            yield batch.select(["node", "rep"]).filter(pa.array(differ <= most + 1e-6))
+
+    return run
 
-    Groups are counted by a combined aggregation and joined again, which Spark
-    can split where a group is large; no group is gathered.
+
+def open_pairs(rest: DataFrame, threshold: float) -> DataFrame:
+    """Distinct pairs (node, rep), node < rep, of members of one group that are in
+    different components and whose sets' sizes allow the similarity asked.
+
+    ``rest`` has node, band, c (the component), _n (the size of the group) and
+    _w (the size of the set). A group is dealt into blocks and blocks are joined
+    two by two, so a large group is the work of many tasks.
     """
-    groups = members.groupBy(*keys).agg(F.min("node").alias("rep"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    return members.join(groups, keys).where("node <> rep")
+    blocks = F.ceil(F.col("_n") / BLOCK).cast("int")
+    dealt = rest.withColumn("_i", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("_j", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("band", F.least("_i", "_j").alias("_lo"), F.greatest("_i", "_j").alias("_hi"), "node", "c", "_w", "_i")
+    other = dealt.select("band", "_lo", "_hi", *[F.col(c).alias(f"{c}2") for c in ("node", "c", "_w", "_i")])
+    pairs = dealt.join(other.hint("merge"), ["band", "_lo", "_hi"]).where("node < node2 AND c <> c2 AND (_lo = _hi OR _i <> _i2)")
+    least = threshold - 1e-9
+    pairs = pairs.where((F.col("_w") >= least * F.col("_w2")) & (F.col("_w2") >= least * F.col("_w")))
+    return pairs.select("node", F.col("node2").alias("rep")).distinct()
+
+
+def all_links(members: DataFrame, sets_of: Callable[[DataFrame], DataFrame], threshold: float) -> DataFrame:
+    """Links (node, rep) that join all similar members of each group: every two
+    members of a group are verified or are in one component.
+
+    ``members`` has (node, band); ``sets_of`` gives (node, items) for a table of
+    nodes. First all members are verified with the most central of their group,
+    whose own groups are the largest: that is the text of which others are edits,
+    since the edits of one text agree with it more than with each other. Groups
+    are counted by a combined aggregation and joined again, which Spark can split.
+    What is then not yet in one component is verified pair by pair.
+    """
+    groups = members.groupBy("band").agg(F.count("*").alias("_n")).where("_n > 1")
+    members = written(members.join(groups, "band").select("node", "band", "_n"), "members")
+    central = members.groupBy("node").agg(F.sum("_n").alias("_c"))
+    members = written(members.join(central, "node"), "members")
+    sets = written(sets_of(central.select("node")), "sets")
+    reps = members.groupBy("band").agg(F.max(F.struct("_c", "node")).alias("_r")).select("band", F.col("_r.node").alias("rep"))
+    stars = written(members.join(reps, "band").where("node <> rep").select("node", "rep").distinct(), "stars")
+    links = written(similar(stars, sets, "node", "rep", threshold), "star-links")
+    # groups of more than one component
+    labels = connected_components(links, "node", "rep")
+    now = members.join(labels, "node", "left").select("node", "band", "_n", F.coalesce("component", "node").alias("c"))
+    now = written(now, "labelled")
+    several = now.groupBy("band").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi")).where("_lo < _hi").select("band")
+    rest = written(now.join(several, "band", "left_semi"), "rest")
+    sketches = sets.join(rest.select("node").distinct(), "node", "left_semi").mapInArrow(_sketch, "node long, _w int, _s binary")
+    sketches = written(sketches, "sketches")
+    tried = stars.select(F.least("node", "rep").alias("node"), F.greatest("node", "rep").alias("rep"))
+    pairs = open_pairs(rest.join(sketches.select("node", "_w"), "node"), threshold).join(tried, ["node", "rep"], "left_anti")
+    pairs = written(pairs, "open-pairs")
+    for a, k in (("node", "x"), ("rep", "y")):
+        pairs = pairs.join(sketches.select(F.col("node").alias(a), F.col("_w").alias(f"_w{k}"), F.col("_s").alias(f"_s{k}")), a)
+    pairs = written(pairs.mapInArrow(_may_be_similar(threshold), "node long, rep long"), "close-pairs")
+    return written(links.union(similar(pairs, sets, "node", "rep", threshold)), "all-links")
 
 
 def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -140,23 +214,9 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     filled = signed.where("size(bands) > 0")
     copies = written(filled.groupBy("k1", "k2").agg(F.min("_rid").alias("node")), "copies")
     banded = filled.join(copies.select(F.col("node").alias("_rid")), "_rid", "left_semi")
-    banded = banded.select(F.col("_rid").alias("node"), F.posexplode("bands").alias("_i", "band"), F.col("bands"))
-    members = banded.select("node", "band")
-    first = written(star_links(members, ["band"]), "candidates")
+    members = banded.select(F.col("_rid").alias("node"), F.explode("bands").alias("band"))
     texts = docs.select("_rid", "text")
-
-    def verified(candidates: DataFrame, name: str) -> DataFrame:
-        pairs = candidates.select("node", "rep").distinct()
-        nodes = pairs.select("node").union(pairs.select("rep")).distinct().withColumnRenamed("node", "_rid")
-        sets = written(shingle_sets(texts.join(nodes, "_rid", "left_semi")), f"sets-{name}")
-        return written(similar(pairs, sets, "node", "rep", threshold), f"linked-{name}")
-
-    links = verified(first, "first")
-    # those unlike the first of their band, among themselves, by two bands together
-    unlike = first.join(links, ["node", "rep"], "left_anti").select("node", "band")
-    finer = banded.select("node", "band", F.expr(f"bands[(_i + 1) % {BANDS}]").alias("next"))
-    second = star_links(unlike.join(finer, ["node", "band"]), ["band", "next"])
-    links = links.union(verified(second, "second"))
+    links = all_links(members, lambda nodes: shingle_sets(texts.join(nodes.withColumnRenamed("node", "_rid"), "_rid", "left_semi")), threshold)
     components = connected_components(links, "node", "rep")
     named = copies.join(components, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("_class"))
     rows = filled.select("_rid", "doc_id", "k1", "k2").join(named, ["k1", "k2"]).select("_rid", "doc_id", "_class")
