@@ -8,11 +8,12 @@ Units of at least MIN_UNIT words are compared.
 
 MinHash over five-word shingles gives each distinct unit a few bands; the
 number of bands is tuned for the recall asked. Units that share a band are
-linked to its first unit and verified by exact Jaccard similarity, and linked
-units form classes by connected components; equal units are one class from the
-start. A class that occurs in more than one document is a repeat. Repeats are
-acted on where at least MIN_RUN words of them stand together: a single common
-sentence is left alone.
+linked to its most central unit and then, where that leaves them apart, to each
+other. Links are verified by exact Jaccard similarity, and linked units form
+classes by connected components; equal units are one class from the start. A
+class that occurs in more than one document is a repeat. Repeats are acted on
+where at least MIN_RUN words of them stand together: a single common sentence
+is left alone.
 
 Of each class, the occurrence in the document of the least doc_id is kept and
 the others are removed.
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 
 from textguard.llm.common import WORD, written
 from textguard.llm.graph import connected_components
-from textguard.llm.near_dedup import similar
+from textguard.llm.near_dedup import all_links
 from textguard.llm.shingles import WordHashes, chunks, list_array, mix, shingle_hashes, with_row_id, words_of
 
 THRESHOLD = 0.8
@@ -173,19 +174,20 @@ def repeats(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     removed. ``docs`` has _rid."""
     slim = docs.select("_rid", F.col("doc_id").cast("long").alias("doc_id"), "text")
     places = written(slim.mapInArrow(_places, "_rid long, doc_id long, seq int, start int, n int, k long"), "units")
-    # bands of each distinct unit, then the first unit of each band
+    # bands of each distinct unit
     bands = slim.select("text").mapInArrow(_banded, "k long, " + ", ".join(f"{c} long" for c in BAND_COLUMNS))
-    bands = bands.groupBy("k").agg(*[F.first(c).alias(c) for c in BAND_COLUMNS])
+    bands = written(bands.groupBy("k").agg(*[F.first(c).alias(c) for c in BAND_COLUMNS]), "unit-bands")
     bands = bands.select("k", F.explode(F.array(*BAND_COLUMNS)).alias("band"))
-    firsts = bands.withColumn("rep", F.min("k").over(W.partitionBy("band")))
-    candidates = written(firsts.where("k <> rep").select("k", "rep").distinct(), "unit-candidates")
+
     # one occurrence of each unit to verify, looked up in its document
-    wanted = candidates.select("k").union(candidates.select("rep")).distinct()
-    spots = places.join(wanted, "k", "left_semi").groupBy("k").agg(F.min(F.struct("_rid", "start", "n")).alias("p"))
-    spans = spots.groupBy("p._rid").agg(F.collect_list(F.struct("p.start", "p.n", "k")).alias("spans"))
-    sets = docs.select("_rid", "text").join(spans, "_rid").mapInArrow(_span_sets, "node long, items array<long>")
-    links = written(similar(candidates, written(sets, "unit-sets"), "k", "rep", threshold), "unit-links")
-    components = connected_components(links, "k", "rep").select(F.col("node").alias("k"), "component")
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        wanted = nodes.withColumnRenamed("node", "k")
+        spots = places.join(wanted, "k", "left_semi").groupBy("k").agg(F.min(F.struct("_rid", "start", "n")).alias("p"))
+        spans = spots.groupBy("p._rid").agg(F.collect_list(F.struct("p.start", "p.n", "k")).alias("spans"))
+        return docs.select("_rid", "text").join(spans, "_rid").mapInArrow(_span_sets, "node long, items array<long>")
+
+    links = all_links(bands.withColumnRenamed("k", "node"), sets_of, threshold)
+    components = connected_components(links, "node", "rep").select(F.col("node").alias("k"), "component")
     # of each class: its first occurrence, and whether several documents hold it
     first = F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "_rid", "seq"))
     stats = places.groupBy("k").agg(first.alias("first"), F.min("_rid").alias("lo"), F.max("_rid").alias("hi"))
