@@ -63,15 +63,26 @@ def merged_intervals(rows: DataFrame, keys: list[str]) -> DataFrame:
     return out.drop("_island")
 
 
-def overlaps(rows: DataFrame, others: DataFrame, key: str) -> DataFrame:
+def overlaps(rows: DataFrame, others: DataFrame, key: str, width: int = 64) -> DataFrame:
     """``rows`` and replacement_safe: false where one of ``others`` overlaps.
 
-    The other side's intervals are merged first and gathered by key, so a key
-    costs as many comparisons as it has disjoint intervals.
+    Distinct intervals of both sides go into every bucket of ``width`` that they
+    cover. In a bucket an interval overlaps another if, among those that start
+    before its end, the furthest end is beyond its start. No key's intervals are
+    gathered in one row, and no pairs are made.
     """
-    lists = others.groupBy(key).agg(F.collect_list(F.struct("start", "end")).alias("_o"))
-    hit = F.exists("_o", lambda o: (F.col("start") < o["end"]) & (F.col("end") > o["start"]))
-    return rows.join(lists, key, "left").withColumn("replacement_safe", ~F.coalesce(hit, F.lit(False))).drop("_o")
+    ends = [F.col(key), F.col("start"), F.col("end")]
+
+    def dealt(side: DataFrame, at: str, reach: Column, kind: int) -> DataFrame:
+        side = side.select(*ends).distinct()
+        buckets = F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))
+        return side.select(*ends, F.explode(buckets).alias("_b"), F.col(at).alias("_at"), reach.alias("_reach"), F.lit(kind).alias("_kind"))
+
+    both = dealt(rows, "end", F.lit(None), 0).unionByName(dealt(others, "start", F.col("end"), 1))
+    order = W.partitionBy(key, "_b").orderBy("_at", "_kind").rowsBetween(W.unboundedPreceding, 0)
+    hits = both.withColumn("_reach", F.max("_reach").over(order)).where("_kind = 0 AND _reach > start")
+    hits = hits.select(*ends).distinct().withColumn("_hit", F.lit(True))
+    return rows.join(hits, [key, "start", "end"], "left").select(*[rows[c] for c in rows.columns], F.col("_hit").isNull().alias("replacement_safe"))
 
 
 def token_chunks(rows: DataFrame, n: Column, size: int = 126, overlap: int = 24) -> DataFrame:
