@@ -1,67 +1,99 @@
 """What follows detection: overlaps, rewriting, summaries.
 
-All of it is per document, so one shuffle by doc_id serves overlap resolution
-and what comes after it. Arrays hold one document's findings.
+A row has its text and all of its findings, so everything but the allowlist is
+done within the row, without a shuffle; ids may be null or repeat.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textguard.functions import scalars as S
+from textguard.functions.scalars import let, settled_row
+from textguard.operators.detect import with_findings
+
+#: Findings that are put into a text in one piece of work.
+GROUP = 128
 
 
-def resolved(findings: DataFrame) -> DataFrame:
-    """(doc_id, findings): each document's accepted findings by start.
+def accepted(findings: Column) -> Column:
+    """A text's findings without those that overlap one of a higher severity,
+    confidence, length or earlier emission, in this order; by start.
 
-    Findings are taken by severity, confidence, length and order of emission; one
-    that overlaps a finding taken before is dropped.
+    Findings that overlap stand in one island, and islands are settled one by one.
+    An island begins at the i-th finding by start if just the i findings before it
+    end there or earlier.
     """
-    fields = [c for c in findings.columns if c != "doc_id"]
-    order = F.struct(
-        (-S.severity_rank(F.col("severity"))).alias("a"), (-F.col("confidence")).alias("b"),
-        (F.col("start") - F.col("end")).alias("c"), F.col("emission").alias("d"), F.col("start").alias("e"), F.struct(*fields).alias("f"),
-    )
-    rows = findings.groupBy("doc_id").agg(F.array_sort(F.collect_list(order)).alias("all"))
-    kind = rows.select(F.expr("transform(slice(all, 1, 0), x -> x.f)").alias("x")).schema["x"].dataType.simpleString()
-    free = lambda acc, x: ~F.exists(acc, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))
-    kept = F.aggregate(
-        F.transform("all", lambda x: x["f"]), F.array().cast(kind),
-        lambda acc, x: F.when(free(acc, x), F.concat(acc, F.array(x))).otherwise(acc),
-    )
-    by_start = F.array_sort(kept, lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).otherwise(0))
-    return rows.select("doc_id", by_start.alias("findings"))
+    by_start = F.array_sort(F.transform(findings, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x.alias("f"))))
+    known = F.struct(by_start.alias("all"), F.array_sort(F.transform(findings, lambda x: x["end"])).alias("ends"), F.sequence(F.lit(0), F.size(findings) - 1).alias("at"))
+
+    def islands(z: Column) -> Column:
+        first = F.filter(z["at"], lambda i: (i == 0) | (F.get(z["ends"], i - 1) <= F.get(z["all"], i)["start"]))
+        return let(F.struct(z["all"].alias("all"), first.alias("first")), lambda y: F.transform(y["first"], lambda b, k: F.slice(y["all"], b + 1, F.coalesce(F.get(y["first"], k + 1), F.size(y["all"])) - b)))
+
+    def order(x: Column) -> Column:
+        f = x["f"]
+        return F.struct((-S.severity_rank(f["severity"])).alias("a"), (-f["confidence"]).alias("b"), (x["start"] - x["end"]).alias("c"), f["emission"].alias("d"), x["start"].alias("e"), x.alias("x"))
 
+    def settled(island: Column) -> Column:
+        ranked = F.transform(F.array_sort(F.transform(island, order)), lambda x: x["x"])
+        free = lambda acc, x: ~F.exists(acc, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))
+        kept = F.aggregate(ranked, F.slice(island, 1, 0), lambda acc, x: F.when(free(acc, x), F.array_append(acc, x)).otherwise(acc))
+        return F.when(F.size(island) == 1, island).otherwise(F.array_sort(kept))
 
-def exploded(resolved_rows: DataFrame) -> DataFrame:
-    return resolved_rows.select("doc_id", F.explode("findings").alias("f")).select("doc_id", "f.*")
+    out = F.transform(F.flatten(F.transform(let(known, islands), settled)), lambda x: x["f"])
+    return F.when(F.size(findings) > 1, out).otherwise(findings)
+
+
+def resolved(docs: DataFrame, off: frozenset[str] = frozenset()) -> DataFrame:
+    """``docs`` (with a column text) and findings: those of each text that stand."""
+    return settled_row(settled_row(with_findings(docs, off)).withColumn("findings", accepted(F.col("findings"))))
+
+
+def exploded(rows: DataFrame) -> DataFrame:
+    """A row for each finding: doc_id and the finding's fields."""
+    return rows.select("doc_id", F.explode("findings").alias("f")).select("doc_id", "f.*")
 
 
 def rewritten(text: Column, findings: Column, replacement: str) -> Column:
-    """The text with each of its disjoint findings (by start) replaced: what
-    stands between findings and the replacements, put together."""
-    first = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    step = lambda acc, x: F.struct(
-        F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), x[replacement]).alias("out"), x["end"].alias("at")
-    )
-    return F.aggregate(findings, first, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    """The text with each of its disjoint findings (by start) replaced.
+
+    The text is cut into stretches of a group of findings each and these at the
+    findings, so that a text of any length is passed over twice.
+    """
+
+    def stretch(z: Column, g: Column) -> Column:
+        own = F.slice(z["f"], g * GROUP + 1, F.lit(GROUP))
+        begin = F.when(g == 0, 0).otherwise(F.get(z["f"], g * GROUP - 1)["end"])
+        known = F.struct(own.alias("own"), begin.alias("begin"), F.substring(text, begin + 1, F.get(own, F.size(own) - 1)["end"] - begin).alias("part"))
+
+        def pieces(y: Column) -> Column:
+            def one(f: Column, i: Column) -> Column:
+                at = F.when(i == 0, y["begin"]).otherwise(F.get(y["own"], i - 1)["end"])
+                return F.concat(F.substring(y["part"], at - y["begin"] + 1, f["start"] - at), f[replacement])
+
+            return F.array_join(F.transform(y["own"], one), "")
+
+        return let(known, pieces)
+
+    groups = lambda z: F.sequence(F.lit(0), F.ceil(F.size(z["f"]) / GROUP).cast("int") - 1)
+    rest = lambda z: F.substring(text, F.get(z["f"], F.size(z["f"]) - 1)["end"] + 1, F.length(text))
+    whole = let(F.struct(findings.alias("f")), lambda z: F.concat(F.array_join(F.transform(groups(z), lambda g: stretch(z, g)), ""), rest(z)))
+    return F.when(F.size(findings) > 0, whole).otherwise(text)
 
 
-def redact(docs: DataFrame, resolved_rows: DataFrame, replacement: str = "replacement_value") -> DataFrame:
-    """doc_id, text: every document, its findings replaced."""
-    out = docs.select("doc_id", "text").join(resolved_rows, "doc_id", "left")
-    return out.select("doc_id", F.when(F.col("findings").isNull(), F.col("text")).otherwise(rewritten(F.col("text"), F.col("findings"), replacement)).alias("text"))
+def redact(rows: DataFrame, replacement: str = "replacement_value") -> DataFrame:
+    """doc_id, text: every row (text, findings), its findings replaced."""
+    return rows.select("doc_id", rewritten(F.col("text"), F.col("findings"), replacement).alias("text"))
 
 
-def safe_placeholder(f: DataFrame) -> DataFrame:
-    """``f`` and placeholder, the neutral value that stands for a finding."""
-    detector, category = F.col("detector"), F.col("category")
+def placeholder(f: Column) -> Column:
+    """The neutral value that stands for a finding."""
+    detector, category = f["detector"], f["category"]
     # fixed values
-    out = (
-        F.when(detector == "databaseUrl", F.concat(F.lower(F.substring_index("original_value", "://", 1)), F.lit("://dummylink")))
+    return (
+        F.when(detector == "databaseUrl", F.concat(F.lower(F.substring_index(f["original_value"], "://", 1)), F.lit("://dummylink")))
         .when(detector == "email", "example@example.com")
         .when(detector == "phoneNumber", "202-555-0100")
         .when(detector == "internalHostname", "example.internal")
@@ -77,41 +109,46 @@ def safe_placeholder(f: DataFrame) -> DataFrame:
         .when(category == "Assigned secret", "Example_Secret")
         .otherwise("Example_Sensitive_Value")
     )
-    return f.withColumn("placeholder", out)
 
 
-def safe_replaced(docs: DataFrame, scan: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """doc_id, text: findings replaced by placeholders, then what a second scan of the
-    outcome still finds. Equal values of a document get one placeholder, that of the
-    last of them; the second pass keeps to it."""
-
-    def placed(findings: DataFrame) -> DataFrame:
-        rows = safe_placeholder(exploded(resolved(findings)))
-        return rows.select("doc_id", "start", "end", "original_value", "placeholder")
-
-    def applied(texts: DataFrame, findings: DataFrame) -> DataFrame:
-        spans = findings.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "placeholder"))).alias("findings"))
-        return redact(texts, spans, "placeholder")
+def with_placeholder(findings: DataFrame) -> DataFrame:
+    """``findings`` (detector, category, original_value) and placeholder."""
+    return findings.withColumn("placeholder", placeholder({c: F.col(c) for c in ("detector", "category", "original_value")}))
 
-    first = placed(scan(docs.select("doc_id", "text")))
-    memo = first.groupBy("doc_id", "original_value").agg(F.max_by("placeholder", "start").alias("_same"))
-    chosen = lambda rows: rows.join(memo, ["doc_id", "original_value"], "left").withColumn("placeholder", F.coalesce("_same", "placeholder"))
-    once = applied(docs, chosen(first))
-    touched = once.join(first.select("doc_id").distinct(), "doc_id", "left_semi")
-    return applied(once, chosen(placed(scan(touched))))
 
-
-def summary(findings: DataFrame) -> DataFrame:
-    """A row for each document with findings: highest severity, confidence level,
+def safe_replaced(docs: DataFrame) -> DataFrame:
+    """doc_id, text: findings replaced by placeholders, then what a second scan of the
+    outcome still finds. Equal values of a text get one placeholder, that of the last
+    of them; the second pass keeps to it."""
+    spots = lambda f: F.transform(f, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["original_value"].alias("value"), placeholder(x).alias("placeholder")))
+
+    def replaced() -> Column:
+        same = lambda x: F.coalesce(F.element_at(F.col("_memo"), x["value"]), x["placeholder"])
+        return rewritten(F.col("text"), F.transform("_spots", lambda x: x.withField("placeholder", same(x))), "placeholder")
+
+    first = settled_row(resolved(docs.select("doc_id", "text")).select("doc_id", "text", spots(F.col("findings")).alias("_spots")))
+    # of equal values, the last
+    in_order = F.array_sort(F.transform("_spots", lambda x: F.struct(x["value"].alias("value"), x["start"].alias("start"), x["placeholder"].alias("placeholder"))))
+    last = let(in_order, lambda z: F.filter(z, lambda x, i: ~F.get(z, i + 1)["value"].eqNullSafe(x["value"])))
+    first = settled_row(first.withColumn("_memo", F.map_from_entries(F.transform(last, lambda x: F.struct(x["value"], x["placeholder"])))))
+    once = settled_row(first.select("doc_id", replaced().alias("text"), "_memo", (F.size("_spots") > 0).alias("_touched")))
+    # only what was touched is scanned again
+    again = resolved(once.withColumnRenamed("text", "_once").withColumn("text", F.when(F.col("_touched"), F.col("_once"))))
+    again = settled_row(again.select("doc_id", F.col("_once").alias("text"), "_memo", spots(F.col("findings")).alias("_spots")))
+    return again.select("doc_id", replaced().alias("text"))
+
+
+def summary(rows: DataFrame) -> DataFrame:
+    """A row for each row (doc_id, findings) with findings: highest severity, confidence level,
     categories in order of first appearance (20 at most, as history keeps them), count."""
-    by_place = F.array_sort(F.collect_list(F.struct("start", "emission", "category")))
-    rows = findings.groupBy("doc_id").agg(
-        F.max(S.severity_rank(F.col("severity"))).alias("rank"), F.max("confidence").alias("c"), by_place.alias("all"), F.count("*").alias("finding_count")
-    )
-    names = F.transform("all", lambda x: F.substring(F.trim(x["category"]), 1, 80))
-    return rows.select(
+    f = F.col("findings")
+    rank = F.array_max(F.transform(f, lambda x: S.severity_rank(x["severity"])))
+    by_place = F.array_sort(F.transform(f, lambda x: F.struct(x["start"], x["emission"].alias("emission"), x["category"].alias("category"))))
+    names = F.transform(by_place, lambda x: F.substring(F.trim(x["category"]), 1, 80))
+    out = rows.where(F.size(f) > 0).select("doc_id", rank.alias("rank"), F.array_max(F.transform(f, lambda x: x["confidence"])).alias("c"), names.alias("names"), F.size(f).cast("long").alias("finding_count"))
+    return out.select(
         "doc_id", F.element_at(F.array(*map(F.lit, S.SEVERITIES)), F.col("rank")).alias("severity"), S.confidence_level(F.col("c")).alias("confidence"),
-        F.array_join(F.slice(F.array_distinct(names), 1, 20), ",").alias("categories"), "finding_count",
+        F.array_join(F.slice(F.array_distinct("names"), 1, 20), ",").alias("categories"), "finding_count",
     )
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from textguard.functions.scalars import settled_row
+
 DAY_MS = 86_400_000
 
 
@@ -88,22 +90,25 @@ def overlaps(rows: DataFrame, others: DataFrame, key: str, width: int = 64) -> D
 def token_chunks(rows: DataFrame, n: Column, size: int = 126, overlap: int = 24) -> DataFrame:
     """doc_id, chunk_idx, start, end: overlapping windows over ``n`` tokens."""
     stride = size - min(overlap, size - 1)
-    last = F.greatest(F.ceil((n - size) / F.lit(float(stride))), F.lit(0)).cast("int")
-    out = rows.where(n > 0).select("doc_id", n.cast("int").alias("_n"), F.explode(F.sequence(F.lit(0), last)).alias("chunk_idx"))
+    counted = settled_row(rows.select("doc_id", n.cast("int").alias("_n"))).where("_n > 0")
+    last = F.greatest(F.ceil((F.col("_n") - size) / F.lit(float(stride))), F.lit(0)).cast("int")
+    out = counted.select("doc_id", "_n", F.explode(F.sequence(F.lit(0), last)).alias("chunk_idx"))
     start = F.col("chunk_idx") * stride
     return out.select("doc_id", "chunk_idx", start.alias("start"), F.least(start + size, F.col("_n")).alias("end"))
 
 
 def linear_head(vectors: DataFrame, labels: list[tuple[str, list[float], float, float]], vector: str = "embedding") -> DataFrame:
     """Label probabilities of unit vectors by a linear layer with a sigmoid, where
-    they reach the label's threshold. The labels are a constant of the model."""
+    they reach the label's threshold. The labels are a constant of the model. The
+    products are divided by the norm once, not each of the vector's elements; a
+    vector of norm 0 has the intercept alone."""
     v = F.transform(vector, lambda x: x.cast("double"))
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x))
-    unit = F.transform(v, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
-    layer = F.array(*[F.struct(F.lit(n).alias("label"), F.array(*map(F.lit, w)).alias("w"), F.lit(b).alias("b"), F.lit(t).alias("t")) for n, w, b, t in labels])
-    rows = vectors.select("vec_id", unit.alias("_u"), F.explode(layer).alias("_l"))
-    z = F.aggregate(F.zip_with("_u", "_l.w", lambda a, b: a * b), F.col("_l.b"), lambda acc, x: acc + x)
-    rows = rows.select("vec_id", "_l.label", F.round(1 / (1 + F.exp(-z)), 6).alias("confidence"), "_l.t")
+    dot = lambda w: F.aggregate(F.zip_with(v, F.array(*map(F.lit, w)), lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
+    known = settled_row(vectors.select("vec_id", norm.alias("_norm"), *[dot(w).alias(f"_{i}") for i, (_, w, _, _) in enumerate(labels)]))
+    z = lambda i, b: F.when(F.col("_norm") > 0, F.lit(b) + F.col(f"_{i}") / F.col("_norm")).otherwise(b)
+    made = [F.struct(F.lit(n).alias("label"), F.round(1 / (1 + F.exp(-z(i, b))), 6).alias("confidence"), F.lit(t).alias("t")) for i, (n, _, b, t) in enumerate(labels)]
+    rows = known.select("vec_id", F.explode(F.array(*made)).alias("l")).select("vec_id", "l.label", "l.confidence", "l.t")
     return rows.where(F.col("confidence") >= F.col("t")).drop("t")
 
 

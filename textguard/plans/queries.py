@@ -41,7 +41,7 @@ def scan_toggled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolve.resolved(scan_all(spark, sf_dir))
+    return resolve.resolved(inputs(spark, sf_dir))
 
 
 def resolve_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,20 +49,20 @@ def resolve_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def history_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolve.summary(resolve.exploded(_resolved(spark, sf_dir)))
+    return resolve.summary(_resolved(spark, sf_dir))
 
 
 def redact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolve.redact(inputs(spark, sf_dir), _resolved(spark, sf_dir))
+    return resolve.redact(_resolved(spark, sf_dir))
 
 
 def safe_placeholder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = resolve.safe_placeholder(resolve.exploded(_resolved(spark, sf_dir)))
+    rows = resolve.with_placeholder(resolve.exploded(_resolved(spark, sf_dir)))
     return rows.groupBy("detector", "category", "placeholder").agg(F.count("*").alias("n"))
 
 
 def safe_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolve.safe_replaced(inputs(spark, sf_dir), detect.scan)
+    return resolve.safe_replaced(inputs(spark, sf_dir))
 
 
 def allowlist_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
