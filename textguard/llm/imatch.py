@@ -1,19 +1,19 @@
 """I-Match fingerprints over randomised lexicons.
 
 Terms are runs of letters and digits in lower case. Document frequencies of all
-terms are counted over all documents. The
-lexicon holds the terms within an inverse-document-frequency band; its rare
-end, a share of the documents, bounds the lexicon's size by the mean number of
-a document's distinct terms over that share, whatever the number of documents.
-Should it hold over MOST_TERMS terms all the same, the rare end is raised.
-
-A fingerprint has SUBSETS hashes. Each is of the document's distinct terms, in
-sorted order, that a random subset of the lexicon keeps. A subset keeps a term
-with the probability 2**-scale, and a document's scale makes that about one of
-its own terms: so few that a hash often survives an edit. The hashes of the
-next scales follow, so that documents of different sizes can be compared.
-Likeness is the share of hashes that agree, of those where either text has a
-term; its expectation is near the Jaccard similarity of the lexicon terms.
+terms are counted over all documents. The lexicon holds the terms within an
+inverse-document-frequency band; its rare end, a share of the documents, bounds
+the lexicon's size by the mean number of a document's distinct terms over that
+share, whatever the number of documents. Should it hold over MOST_TERMS terms
+all the same, the band begins at the next frequency at which it does not.
+
+The randomised lexicons are fixed: each of SUBSETS of each rate keeps a term by
+the term's own hash, whatever the document. A fingerprint has the hash of all
+of a document's lexicon terms, sorted, and of those that each subset keeps,
+sorted as well. Rates are powers of four apart: a subset that keeps most terms
+tells near copies, one that keeps a few of a document's terms survives edits.
+Likeness is the share of equal subset hashes, from the sparsest rate on at
+which at least half of the subsets hold a term of either text.
 
 Defined cases: a null text is empty; a text without a lexicon term uses all its
 words instead; texts without a word have one empty fingerprint; equal texts
@@ -41,9 +41,9 @@ from textguard.llm.shingles import WordHashes, chunks, mix
 MOST_SHARE = 1 / 2
 LEAST_SHARE = 1 / 4096
 MOST_TERMS = 2_000_000
-SUBSETS = 32
-#: How many scales a fingerprint holds: its own and those that follow.
-SCALES = 3
+#: How many randomised lexicons there are of each rate; a rate keeps a term with the probability 2**-rate.
+SUBSETS = 16
+RATES = (2, 4, 6, 8, 10)
 _TERM = re.compile(r"[^\W_]+")
 _LAST = 2**63 - 1
 _SEEDS = mix(np.arange(1, SUBSETS + 1, dtype=np.uint64))
@@ -94,14 +94,24 @@ def lexicon(docs: DataFrame, least: float = LEAST_SHARE, most: float = MOST_SHAR
     n = docs.count()
     counts = docs.select("text").mapInArrow(_term_counts, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
     band = counts.where((F.col("n") >= n * least) & (F.col("n") <= n * most))
-    # by frequency from the most frequent on: what is over the bound is the rare end
-    found = band.orderBy(F.col("n").desc(), "term").limit(most_terms).select("term").toPandas()
+    found = band.orderBy(F.col("n").desc()).limit(most_terms + 1).toPandas()
+    if len(found) > most_terms:  # all terms of a frequency or none
+        found = found[found["n"] > found["n"].iloc[-1]]
     return np.sort(found["term"].to_numpy(np.int64).astype(np.uint64))
 
 
-def fingerprints(texts: list, lexicon: np.ndarray, cache: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(scale, hashes, count of terms) of each text. hashes[i, j] are those of
-    its own scale plus j; 0 where a subset keeps none."""
+def set_hashes(owner: np.ndarray, term: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each owner's sorted terms in order, 0 without a term; rows are sorted by both."""
+    out = np.zeros(n, np.uint64)
+    if len(owner):
+        new = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+        rank = (np.arange(len(owner)) - np.repeat(new, np.diff(np.append(new, len(owner))))).astype(np.uint64)
+        out[owner[new]] = mix(np.add.reduceat(mix(term + rank * np.uint64(0x9E3779B97F4A7C15)), new)) | np.uint64(1)
+    return out
+
+
+def fingerprints(texts: list, lexicon: np.ndarray, cache: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of all terms, hashes[text, rate, subset]) of each text; 0 where no term is kept."""
     owner, term = distinct_terms(texts, cache)
     n = len(texts)
     if len(lexicon):
@@ -109,37 +119,32 @@ def fingerprints(texts: list, lexicon: np.ndarray, cache: WordHashes) -> tuple[n
         known = lexicon[at] == term
         use = known | (np.bincount(owner[known], minlength=n) == 0)[owner]
         owner, term = owner[use], term[use]
-    count = np.bincount(owner, minlength=n)
-    scale = np.round(np.log2(np.maximum(count, 1))).astype(np.int64)
-    out = np.zeros((n, SCALES, SUBSETS), np.uint64)
-    bounds = [(np.uint64(2**64 - 1) >> np.minimum(scale + j, 63).astype(np.uint64))[owner] for j in range(SCALES)]
+    out = np.zeros((n, len(RATES), SUBSETS), np.uint32)
     for k in range(SUBSETS):
-        draw = mix(term ^ _SEEDS[k])
-        kept = np.flatnonzero(draw <= bounds[0])
-        for j in range(SCALES):
-            kept = kept[draw[kept] <= bounds[j][kept]]
-            # a sum over the sorted terms: sets are the same in any order
-            np.add.at(out[:, j, k], owner[kept], mix(term[kept]))
-    some = out != 0
-    return scale, np.where(some, out % np.uint64(65535) + np.uint64(1), np.uint64(0)), count
+        draw, some, terms = mix(term ^ _SEEDS[k]), owner, term
+        for j, rate in enumerate(RATES):
+            kept = draw <= np.uint64(2**64 - 1) >> np.uint64(rate)
+            draw, some, terms = draw[kept], some[kept], terms[kept]
+            found = set_hashes(some, terms, n)
+            out[:, j, k] = np.where(found != 0, found >> np.uint64(32) | np.uint64(1), found)
+    return set_hashes(owner, term, n), out
 
 
 def likeness(a: tuple, b: tuple) -> np.ndarray:
     """The likeness of the fingerprints of two equally long lists of texts."""
-    (sa, ha, na), (sb, hb, nb) = a, b
-    rows = np.arange(len(sa))
-    x, y = ha[rows, np.clip(sb - sa, 0, SCALES - 1)], hb[rows, np.clip(sa - sb, 0, SCALES - 1)]
-    either = ((x != 0) | (y != 0)).sum(axis=1)
-    agree = ((x != 0) & (x == y)).sum(axis=1)
-    equal = (sa == sb) & (ha == hb).all(axis=(1, 2)) & ((na == 0) == (nb == 0))
-    return np.where(equal, 1.0, np.where(np.abs(sa - sb) >= SCALES, 0.0, agree / np.maximum(either, 1)))
-
-
-def as_text(scale: np.ndarray, hashes: np.ndarray, count: np.ndarray) -> list[str]:
-    """Two digits for the scale, then four hexadecimal digits for each hash ('' without a term)."""
-    raw = hashes.astype(">u2").tobytes()
-    step = SCALES * SUBSETS * 2
-    return [f"{s:02d}{raw[i * step : (i + 1) * step].hex()}" if c else "" for i, (s, c) in enumerate(zip(scale.tolist(), count.tolist(), strict=True))]
+    (wa, x), (wb, y) = a, b
+    either, agree = ((x != 0) | (y != 0)).sum(axis=2), ((x != 0) & (x == y)).sum(axis=2)
+    filled = 2 * either >= SUBSETS
+    first = np.where(filled.any(axis=1), len(RATES) - 1 - filled[:, ::-1].argmax(axis=1), 0)
+    counted = np.arange(len(RATES)) >= first[:, None]
+    return np.where(wa == wb, 1.0, (agree * counted).sum(axis=1) / np.maximum((either * counted).sum(axis=1), 1))
+
+
+def as_text(whole: np.ndarray, hashes: np.ndarray) -> list[str]:
+    """Sixteen hexadecimal digits for all terms, then eight for each subset ('' without a term)."""
+    raw = hashes.astype(">u4").tobytes()
+    step = len(RATES) * SUBSETS * 4
+    return [f"{w:016x}{raw[i * step : (i + 1) * step].hex()}" if w else "" for i, w in enumerate(whole.tolist())]
 
 
 def edited(text: str, following: str) -> str:
