@@ -1,15 +1,18 @@
 """The main text of web pages by text-to-tag ratios.
 
 The standard library's parser streams a page's events. Block elements end
-lines; each line has its text and the number of tags in it. The ratios of text
-to tags are smoothed by a Gaussian over neighbouring lines and clustered about
-a threshold (two means); lines of the upper cluster mark content regions. A
-region is the section, the article for instance, that holds such a line, and
-all lines between two of its content lines; none of it is lost for being short.
-What the markup itself calls a menu, header, footer, sidebar, notice, advert,
-form or comment, by element, role, class or id, is no content at any ratio.
-
-Pages are independent: no shuffle, one pass.
+lines; each line has its text and the number of tags in it. The logarithms of
+the ratios of text to tags are smoothed by a Gaussian over neighbouring lines
+and clustered about a threshold (two means); lines of the upper cluster mark
+content regions. A region is the section that holds such a line, all of the
+article or main element around it, and all lines between two of its content
+lines; none of it is lost for being short. What the markup itself calls a menu,
+header, footer, sidebar, notice, advert, form or comment, by element, role or a
+whole name in class or id, is no content at any ratio; a name that only has
+such a word as a part makes a line outside articles weigh less.
+
+Pages are independent: no shuffle, one pass. Of a page, every event is handled
+in constant time, taken over all events, whatever is left unclosed.
 
 Defined cases: a null page is empty; an empty page or one without content has
 an empty text; a page of one line is that line; unclosed and stray tags are
@@ -20,8 +23,10 @@ get equal results; other columns are not read.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -45,43 +50,89 @@ WORDS = frozenset(
     navbar navigation menu breadcrumb breadcrumbs pagination pager footer masthead topbar toolbar comment comments commentlist
     disqus respond reply replies share sharing social related recommended widget skip""".split()
 )
+#: What an article may be called that is a reader's comment.
+REPLIES = frozenset(["comment", "reply"])
 HEADS = frozenset(["header"])
+HOLDING = frozenset("footer aside form dialog section article".split())
+CLOSES_ITSELF = frozenset("p li dt dd tr td th".split())
+#: How much text weighs in an element whose name has one of WORDS as a part.
+DOUBTFUL = 0.25
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
 
-def apart(tag: str, attrs: dict[str, str | None], inside: bool) -> bool:
-    """Whether an element stands beside the content. ``inside``: an article or main holds it."""
+def standing(tag: str, attrs: dict[str, str | None], inside: bool) -> tuple[bool, float]:
+    """Whether an element stands beside the content, and how much its lines weigh.
+    ``inside``: an article or main holds it."""
     if tag in NOT_TEXT or tag in APART or attrs.get("hidden", 0) != 0 or (attrs.get("aria-hidden") or "") == "true":
-        return True
+        return True, 1.0
     if tag in ("html", "body", "main"):
-        return False
+        return False, 1.0
     if (attrs.get("role") or "").lower() in ROLES:
-        return True
-    names = set(_SPLIT.split(f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower()))
+        return True, 1.0
+    names = set(f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower().split())
+    if tag == "article":
+        return bool(names & REPLIES), 1.0
     # an article's own header holds its title
-    return bool(names & WORDS) or not inside and (tag in HEADS or bool(names & HEADS))
+    if names & WORDS or not inside and (tag in HEADS or names & HEADS):
+        return True, 1.0
+    doubtful = not inside and any(x in WORDS for name in names for x in _SPLIT.split(name))
+    return False, DOUBTFUL if doubtful else 1.0
+
+
+class Element(NamedTuple):
+    """An open element: what lines in it belong to, and the places in the stack of the
+    nearest block and the nearest section that hold it (or are it)."""
+
+    tag: str
+    section: int
+    out: bool
+    article: int
+    weight: float
+    block: int
+    frame: int
+
+
+NONE = Element("", 0, False, 0, 1.0, -1, -1)
 
 
 class Lines(HTMLParser):
-    """The lines of a page: text, tags, section (a number), whether it stands apart."""
+    """The lines of a page: text, tags and the element that holds them."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, bool]] = []
+        self.lines: list[tuple[str, int, Element]] = []
         self.text: list[str] = []
         self.tags = 0
-        #: tag, its section, whether it or what holds it is apart, whether it is in an article
-        self.open: list[tuple[str, int, bool, bool]] = []
-        self.sections = 0
-
-    def top(self) -> tuple[str, int, bool, bool]:
-        return self.open[-1] if self.open else ("", 0, False, False)
+        self.open: list[Element] = []
+        #: how often a tag is open, in all and within the section at a place in the stack
+        self.count: Counter[tuple[str, int]] = Counter()
+        #: open elements that an article may stand in although they stand apart
+        self.holding = 0
+        self.numbers = 0
+
+    def top(self) -> Element:
+        return self.open[-1] if self.open else NONE
+
+    def push(self, e: Element) -> None:
+        self.open.append(e)
+        self.count[e.tag, -2] += 1
+        self.count[e.tag, self.above(e).frame] += 1
+        self.holding += e.tag in HOLDING and e.out
+
+    def pop(self) -> Element:
+        e = self.open.pop()
+        self.count[e.tag, -2] -= 1
+        self.count[e.tag, self.top().frame] -= 1
+        self.holding -= e.tag in HOLDING and e.out
+        return e
+
+    def above(self, e: Element) -> Element:
+        return self.open[-2] if len(self.open) > 1 else NONE
 
     def end_line(self) -> None:
         text = " ".join("".join(self.text).split())
-        _, section, out, _ = self.top()
         if text or self.tags:
-            self.lines.append((text, self.tags, section, out))
+            self.lines.append((text, self.tags, self.top()))
         self.text, self.tags = [], 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
@@ -90,56 +141,49 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag in VOID:
             return
-        if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option"):
-            self.close_implied(tag)
-        if tag in ("article", "main"):
-            self.leave_unclosed()
-        above, section, out, inside = self.top()
-        if tag in SECTION:
-            self.sections += 1
-            section = self.sections
-        self.open.append((tag, section, out or apart(tag, dict(attrs), inside), inside or tag in ("article", "main")))
-
-    def close_implied(self, tag: str) -> None:
-        """A new paragraph or item ends the one that is open in the same block, and what is open in it."""
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                del self.open[i:]
-                return
-            if self.open[i][0] in BLOCK:
-                return
-
-    def leave_unclosed(self) -> None:
-        """An article doesn't begin in a menu or a division for adverts: those were not closed."""
-        if self.top()[2] and not any(x[0] in ("footer", "aside", "form", "dialog", "section", "article") and x[2] for x in self.open):
-            while self.open and self.open[-1][2]:
-                self.open.pop()
+        block = self.top().block
+        if tag in CLOSES_ITSELF and block >= 0 and self.open[block].tag == tag:
+            # a new paragraph or item ends the one that is open, and what is open in it
+            while len(self.open) > block:
+                self.pop()
+        if tag in ("article", "main") and self.top().out and not self.holding:
+            # an article doesn't begin in a menu or a division for adverts: those were not closed
+            while self.open and self.top().out:
+                self.pop()
+        above, at = self.top(), len(self.open)
+        out, weight = standing(tag, dict(attrs), bool(above.article))
+        self.numbers += 1
+        is_article = tag in ("article", "main")
+        self.push(
+            Element(
+                tag, self.numbers if tag in SECTION else above.section, out or above.out, above.article or (self.numbers if is_article else 0),
+                min(weight, above.weight), at if tag in BLOCK else above.block, at if tag in SECTION else above.frame,
+            )
+        )
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
-        if tag not in VOID and self.open and self.open[-1][0] == tag and tag in ("svg", "math", "iframe", "script"):
-            self.open.pop()
+        if tag not in VOID and self.top().tag == tag and tag in ("svg", "math", "iframe", "script"):
+            self.pop()
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCK or tag in NOT_TEXT:
             self.end_line()
         self.tags += 1
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                del self.open[i:]
-                return
-            if tag not in BLOCK and self.open[i][0] in SECTION:
-                return  # an inline end tag closes nothing beyond its section
+        # an inline end tag closes nothing beyond its section
+        if self.count[tag, -2 if tag in BLOCK else self.top().frame] > 0:
+            while self.pop().tag != tag:
+                pass
 
     def handle_data(self, data: str) -> None:
-        if not self.top()[2]:
+        if not self.top().out:
             self.text.append(data)
 
     def parse_marked_section(self, i: int, report: int = 1) -> int:
         return self.parse_bogus_comment(i)
 
 
-def read_lines(html: str) -> list[tuple[str, int, int, bool]]:
+def read_lines(html: str) -> list[tuple[str, int, Element]]:
     parser = Lines()
     parser.feed(html)
     parser.close()
@@ -170,24 +214,22 @@ def two_means(x: np.ndarray) -> float:
 
 def main_text(html: str | None) -> str:
     lines = read_lines(html) if html else []
-    if not lines:
-        return ""
-    size = np.array([len(t) for t, _, _, _ in lines], float)
-    ratio = smoothed(size / np.maximum([n for _, n, _, _ in lines], 1))
-    may = np.array([bool(t) and not out for t, _, _, out in lines])
+    may = np.array([bool(t) and not e.out for t, _, e in lines], bool)
     if not may.any():
         return ""
-    section = np.array([s for _, _, s, _ in lines])
+    size = np.array([len(t) * e.weight for t, _, e in lines], float)
+    ratio = smoothed(np.log1p(size / np.maximum([n for _, n, _ in lines], 1)))
+    section, article = np.array([e.section for _, _, e in lines]), np.array([e.article for _, _, e in lines])
     content = may & (ratio > two_means(ratio))
     if not content.any():
         content = may & (ratio >= ratio[may].max())
-    chosen = set(section[content].tolist())
     first = np.flatnonzero(content)[[0, -1]]
     between = np.zeros(len(lines), bool)
     between[first[0] : first[1] + 1] = True
-    # a heading before a region belongs to it if no other section's text parts them
-    keep = may & (between | np.isin(section, list(chosen)))
-    return " ".join(t for (t, _, _, _), k in zip(lines, keep, strict=True) if k)
+    # an article is whole, its inner divisions included
+    whole = np.isin(article, np.setdiff1d(article[content], [0]))
+    keep = may & (between | whole | np.isin(section, section[content]))
+    return " ".join(t for (t, _, _), k in zip(lines, keep, strict=True) if k)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
