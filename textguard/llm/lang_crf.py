@@ -42,16 +42,16 @@ SAMPLE_DOCS = 2400
 WINDOW = 60
 BUCKETS = 1 << 17
 BLOCK = 64
-#: Letters, and letters around an apostrophe.
-_LETTERS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
-_MOST = 24
+#: Letters, and letters around an apostrophe. Longer runs are several elements of the
+#: chain, 24 letters each, so that scripts without spaces are read to their last letter.
+_LETTERS = re.compile(r"[^\W\d_]{1,24}(?:['’][^\W\d_]{1,24})?")
+_MOST = 49
 
 
 def word_features(ws: list[str]) -> np.ndarray:
     """The feature buckets of each word; absent features point at the table's last, zero, row."""
     n = len(ws)
-    cut = [w if len(w) <= _MOST else w[: _MOST // 2] + w[-_MOST // 2 :] for w in map(str.lower, ws)]
-    cut = [w[:_MOST] for w in cut]
+    cut = [w.lower()[:_MOST] for w in ws]  # lower case can be longer by a letter
     size = np.fromiter(map(len, cut), np.int64, n)
     m = np.zeros((n, _MOST + 2), np.uint64)
     m[:, 0] = 2
