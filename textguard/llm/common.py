@@ -20,10 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or a folder
-    of this driver where the session names none (local mode and tests)."""
+    """The folder that all executors share: ``spark.checkpoint.dir``, or a folder of
+    this machine where the session names none and runs on this machine alone."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("on a cluster, spark.checkpoint.dir has to name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="textguard-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -37,7 +40,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/textguard/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables that :func:`written` made and nothing reads any more. Those that a
+    result is read from stay until the shared folder is cleared."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._written_to)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def trimmed(text: Column) -> Column:
@@ -56,6 +70,11 @@ def count_chars(text: Column, chars: str) -> Column:
     return (F.length(text) - F.length(F.translate(text, chars, ""))).cast("long")
 
 
+def drawn(most: int, n: int, *keys: Column) -> Column:
+    """Whether a row belongs to a sample of about ``most`` of ``n`` rows, by a hash of its keys."""
+    return F.pmod(F.xxhash64(*keys, F.lit(5)), F.lit(1_000_000_000)) < int(1e9 * min(1.0, most / max(n, 1)))
+
+
 def bucket_of(column: Column, n: int) -> Column:
     """``crc32`` of the column as text, modulo ``n`` (null: 0)."""
     return F.coalesce(F.crc32(column.cast("string").cast("binary")) % n, F.lit(0))

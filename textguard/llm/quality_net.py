@@ -13,12 +13,13 @@ numpy scores it; a temperature fitted on labelled rows that the weights did not
 see calibrates the probabilities.
 
 The vectors cover all documents. The network is fitted on at most SAMPLE_DOCS
-labelled documents. Two passes over the texts; what is shuffled is a table of
+labelled documents, drawn by a hash of their ids. Two passes over the texts; what is shuffled is a table of
 SLOTS vectors for each task of the first pass.
 
 Defined cases: a null text is an empty one; empty texts are scored from their
 zero features; without labelled rows, or with one class only, all get that
-class's smoothed share; repeated rows get equal scores; an empty table gives an
+class's smoothed share; of labels that contradict each other the larger counts;
+fewer than five labelled rows leave the temperature at 1; repeated rows get equal scores; an empty table gives an
 empty result; other columns are not read.
 """
 
@@ -33,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textguard.llm.common import bucket_of, written
+from textguard.llm.common import bucket_of, drawn, written
 from textguard.llm.shingles import chunks, list_array, mix
 
 SLOTS = 1 << 13
@@ -167,7 +168,7 @@ class Network:
     def __init__(self, x: np.ndarray, y: np.ndarray, hidden: int = HIDDEN, epochs: int = 80, rate: float = 0.01, seed: int = 3):
         rng = np.random.default_rng(seed)
         self.share = (y.sum() + 1) / (len(y) + 2)
-        self.trained = len(y) >= 20 and 0 < y.sum() < len(y)
+        self.trained = 0 < y.sum() < len(y)
         self.temperature = 1.0
         if not self.trained:
             return
@@ -193,8 +194,8 @@ class Network:
         logit, target = self.logits(x[held]), y[held]
         # the temperature of least log loss on rows that the weights did not see
         choices = np.exp(np.linspace(np.log(0.25), np.log(8), 60))
-        loss = [np.mean(np.logaddexp(0, -np.where(target == 1, 1, -1) * logit / t)) for t in choices]
-        self.temperature = float(choices[int(np.argmin(loss))])
+        loss = [np.logaddexp(0, -np.where(target == 1, 1, -1) * logit / t).sum() for t in choices]
+        self.temperature = float(choices[int(np.argmin(loss))]) if len(held) else 1.0
 
     def standard(self, x: np.ndarray) -> np.ndarray:
         return np.clip((x - self.centre) / self.spread, -8, 8)
@@ -214,10 +215,12 @@ def score_documents(docs: DataFrame, labels: DataFrame, folds: int = 4, held: in
     vectors = word_vectors(slim)
     featured = written(document_features(slim, vectors), "quality-features")
     marks = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (bucket_of(F.col("doc_id"), folds) != held))
-    marks = marks.groupBy("doc_id").agg(F.max("quality").alias("y"))
-    marks = marks.orderBy(F.xxhash64(F.col("doc_id").cast("string"), F.lit(5)), "doc_id").limit(SAMPLE_DOCS)
+    marks = written(marks.groupBy("doc_id").agg(F.max("quality").alias("y")), "quality-marks")
+    # drawn by a hash: no task hands on more than its part of the sample
+    marks = marks.where(drawn(SAMPLE_DOCS, marks.count(), F.col("doc_id").cast("string")))
     # repeated documents of one id could exceed the bound
-    rows = featured.join(marks, "doc_id").orderBy("doc_id", "x").limit(2 * SAMPLE_DOCS).select("x", "y").toPandas()
+    rows = featured.join(marks, "doc_id").select("doc_id", "x", "y").limit(2 * SAMPLE_DOCS).toPandas()
+    rows = rows.iloc[sorted(range(len(rows)), key=lambda i: (rows["doc_id"][i], tuple(rows["x"][i])))]
     x = np.stack(rows["x"].to_list()).astype(np.float32) if len(rows) else np.zeros((0, N_FEATURES), np.float32)
     network = Network(x, rows["y"].to_numpy(float))
 

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textguard.llm.common import WORD
+from textguard.llm.common import WORD, written
 
 SIZE = 5
 _WORD = re.compile(WORD)
@@ -90,9 +90,12 @@ def hashed(texts: list, cache: WordHashes) -> tuple[np.ndarray, np.ndarray]:
 def with_row_id(docs: DataFrame) -> DataFrame:
     """``docs`` with a column ``_rid`` that tells rows apart, repeated ones too.
 
-    The number follows from a row's place in its table. ``docs`` must read the
-    same each time, as a written table does.
+    The number follows from a row's place in its table, so a table must read the
+    same each time. What comes out of a shuffle does not, and is written first.
     """
+    plan = docs._jdf.queryExecution().executedPlan().toString()
+    if "Exchange" in plan or "ShuffleQueryStage" in plan:
+        docs = written(docs, "rows")
     return docs.withColumn("_rid", F.monotonically_increasing_id())
 
 

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textguard.llm.common import drawn
+
 #: host and path prefix, verdict
 RULES = (
     ("org", "/", "allow"),
@@ -178,8 +180,11 @@ def featured(pages: DataFrame, rules: tuple = RULES) -> DataFrame:
 def judge_urls(pages: DataFrame, rules: tuple = RULES) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, score (of a block)."""
     df = featured(pages, rules)
-    labelled = df.where("_verdict IS NOT NULL").select("_x", (F.col("_verdict") == "block").cast("double").alias("y"))
-    rows = labelled.orderBy(F.xxhash64("_x"), "_x", "y").limit(SAMPLE_ROWS).toPandas()
+    labelled = with_rule(parts(pages.select("page_id", "url")), rules).where("_verdict IS NOT NULL").count()
+    # drawn by a hash of the row: no task hands on more than its part of the sample
+    some = df.where("_verdict IS NOT NULL").where(drawn(SAMPLE_ROWS, labelled, F.col("page_id").cast("string"), F.col("host"), F.col("path"), F.col("_x")))
+    rows = some.select("_x", (F.col("_verdict") == "block").cast("double").alias("y")).limit(2 * SAMPLE_ROWS).toPandas()
+    rows = rows.iloc[sorted(range(len(rows)), key=lambda i: (tuple(rows["_x"][i]), rows["y"][i]))]
     x = np.stack(rows["_x"].to_list()) if len(rows) else np.zeros((0, len(FEATURES)))
     trees = Trees(x, rows["y"].to_numpy(float))
 
