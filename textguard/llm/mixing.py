@@ -83,14 +83,15 @@ def assign(docs: DataFrame, carry: list[Column] | None = None) -> DataFrame:
         # null sources sort after all others
         F.coalesce(F.concat(F.lit("a"), F.col("source")), F.lit("b")).alias("_key"),
         F.size(words(F.col("text"))).cast("long").alias("size"),
-        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("_hash"),
+        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.xxhash64("text").cast("string"))).cast("binary")).alias("_hash"),
+        F.xxhash64("text").alias("_text"),
         *(carry or []),
     ).withColumn("_range", F.substring("_hash", 1, 3))
     slim = sized.select("_key", "size", "_range")
     ranges = slim.groupBy("_key", "_range").agg(F.sum("size").alias("_sum"))
     ranges = ranges.withColumn("_before", F.sum("_sum").over(W.partitionBy("_key").orderBy("_range")) - F.col("_sum"))
     offsets = ranges.join(source_targets(slim), "_key")
-    within = W.partitionBy("_key", "_range").orderBy("_hash", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
+    within = W.partitionBy("_key", "_range").orderBy("_hash", "doc_id", "size", "_text").rowsBetween(W.unboundedPreceding, 0)
     placed = sized.withColumn("_upto", F.sum("size").over(within)).join(offsets.drop("_sum"), ["_key", "_range"])
     start = F.col("_before") + F.col("_upto") - F.col("size")
     due = F.round("target").cast("long")
