@@ -10,7 +10,8 @@ Jaccard similarity of their sets.
 
 Signatures are cut into bands; documents that agree in a band are candidates.
 Candidates are linked to the band's most central document first; every pair of a
-band that this leaves in different components is then compared as well.
+band that this leaves in different components is then compared as well, block by
+block, by sketches that rule out most pairs and no similar one.
 Links are verified by the exact Jaccard similarity of the distinct shingles.
 Exact copies count as one text until the end, so a group of copies of any size
 costs as much as one of them.
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textguard.llm.common import written
+from textguard.llm.common import discard, written
 from textguard.llm.graph import connected_components
 from textguard.llm.shingles import WordHashes, chunks, hashed, list_array, mix, shingle_hashes, with_row_id
 
@@ -137,38 +138,72 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(counts.astype(np.int32)), pa.array(sketches, pa.binary())], names=["node", "_w", "_s"])
 
 
-def _may_be_similar(threshold: float):
-    """A filter of pairs that loses none: every bit in which two sketches differ
-    is an item at least that one set has and the other has not."""
+def _close(node: np.ndarray, c: np.ndarray, w: np.ndarray, s: np.ndarray, one: np.ndarray, two: np.ndarray | None, threshold: float) -> Iterator[np.ndarray]:
+    """Pairs of ``one`` and ``two`` (or among ``one``) in different components whose sets may be similar.
+
+    Loses none: every bit in which two sketches differ is an item at least that one
+    set has and the other has not.
+    """
+    most = (1 - threshold) / (1 + threshold)
+    for k, x in enumerate(one):
+        y = one[k + 1 :] if two is None else two
+        y = y[(c[y] != c[x]) & (w[y] * threshold <= w[x] + 1e-6) & (w[x] * threshold <= w[y] + 1e-6)]
+        if len(y):
+            y = y[np.bitwise_count(s[y] ^ s[x]).sum(axis=1, dtype=np.int64) <= (w[y] + w[x]) * most + 1e-6]
+            yield np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])], axis=1)
+
+
+def _compare_blocks(threshold: float):
+    """For batches sorted by (band, _lo, _hi): the close pairs of each two blocks of a group."""
+
+    def pairs(held: pa.RecordBatch | None, batch: pa.RecordBatch | None) -> tuple[list[np.ndarray], pa.RecordBatch | None]:
+        both = [x for x in (held, batch) if x is not None and x.num_rows]
+        if not both:
+            return [], None
+        rows = pa.Table.from_batches(both).combine_chunks().to_batches()[0]
+        band, lo, hi, i, node, c, w = (rows.column(x).to_numpy() for x in ("band", "_lo", "_hi", "_i", "node", "c", "_w"))
+        starts = np.flatnonzero(np.concatenate([[True], (band[1:] != band[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]))
+        ends = np.concatenate([starts[1:], [len(band)]])
+        if batch is not None:  # the last group may go on
+            held, starts, ends = rows.slice(starts[-1]), starts[:-1], ends[:-1]
+        s = np.frombuffer(b"".join(rows.column("_s").to_pylist()), np.uint64).reshape(len(band), -1)
+        out: list[np.ndarray] = []
+        for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+            if b - a > 1:
+                at = np.arange(a, b)
+                first, second = (at, None) if lo[a] == hi[a] else (at[i[a:b] == lo[a]], at[i[a:b] == hi[a]])
+                out += _close(node, c, w, s, first, second, threshold)
+        return out, held
+
+    def made(out: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        if out:
+            found = np.unique(np.concatenate(out), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["node", "rep"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("_sx", "_sy"))
-            differ = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
-            most = (batch.column("_wx").to_numpy() + batch.column("_wy").to_numpy()) * ((1 - threshold) / (1 + threshold))
-            yield batch.select(["node", "rep"]).filter(pa.array(differ <= most + 1e-6))
+            out, held = pairs(held, batch)
+            yield from made(out)
+        yield from made(pairs(held, None)[0])
 
     return run
 
 
 def open_pairs(rest: DataFrame, threshold: float) -> DataFrame:
     """Distinct pairs (node, rep), node < rep, of members of one group that are in
-    different components and whose sets' sizes allow the similarity asked.
+    different components and whose sketches allow the similarity asked.
 
-    ``rest`` has node, band, c (the component), _n (the size of the group) and
-    _w (the size of the set). A group is dealt into blocks and blocks are joined
-    two by two, so a large group is the work of many tasks.
+    ``rest`` has node, band, c (the component), _n (the size of the group), _w (the
+    size of the set) and _s (its sketch). A group is dealt into blocks; each two
+    blocks are compared as one piece of work, and only pairs that may be similar
+    leave it: a large group is the work of many tasks and never a table of pairs.
     """
     blocks = F.ceil(F.col("_n") / BLOCK).cast("int")
     dealt = rest.withColumn("_i", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("_j", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("band", F.least("_i", "_j").alias("_lo"), F.greatest("_i", "_j").alias("_hi"), "node", "c", "_w", "_i")
-    other = dealt.select("band", "_lo", "_hi", *[F.col(c).alias(f"{c}2") for c in ("node", "c", "_w", "_i")])
-    pairs = dealt.join(other.hint("merge"), ["band", "_lo", "_hi"]).where("node < node2 AND c <> c2 AND (_lo = _hi OR _i <> _i2)")
-    least = threshold - 1e-9
-    pairs = pairs.where((F.col("_w") >= least * F.col("_w2")) & (F.col("_w2") >= least * F.col("_w")))
-    return pairs.select("node", F.col("node2").alias("rep")).distinct()
+    dealt = dealt.select("band", F.least("_i", "_j").alias("_lo"), F.greatest("_i", "_j").alias("_hi"), "_i", "node", "c", "_w", "_s")
+    keys = ["band", "_lo", "_hi"]
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_compare_blocks(threshold), "node long, rep long").distinct()
 
 
 def all_links(members: DataFrame, sets_of: Callable[[DataFrame], DataFrame], threshold: float) -> DataFrame:
@@ -183,10 +218,11 @@ def all_links(members: DataFrame, sets_of: Callable[[DataFrame], DataFrame], thr
     What is then not yet in one component is verified pair by pair.
     """
     groups = members.groupBy("band").agg(F.count("*").alias("_n")).where("_n > 1")
-    members = written(members.join(groups, "band").select("node", "band", "_n"), "members")
-    central = members.groupBy("node").agg(F.sum("_n").alias("_c"))
-    members = written(members.join(central, "node"), "members")
-    sets = written(sets_of(central.select("node")), "sets")
+    grouped = written(members.join(groups, "band").select("node", "band", "_n"), "grouped")
+    central = grouped.groupBy("node").agg(F.sum("_n").alias("_c"))
+    members = written(grouped.join(central, "node"), "members")
+    sets = written(sets_of(members.select("node").distinct()), "sets")
+    discard(grouped)
     reps = members.groupBy("band").agg(F.max(F.struct("_c", "node")).alias("_r")).select("band", F.col("_r.node").alias("rep"))
     stars = written(members.join(reps, "band").where("node <> rep").select("node", "rep").distinct(), "stars")
     links = written(similar(stars, sets, "node", "rep", threshold), "star-links")
@@ -199,12 +235,11 @@ def all_links(members: DataFrame, sets_of: Callable[[DataFrame], DataFrame], thr
     sketches = sets.join(rest.select("node").distinct(), "node", "left_semi").mapInArrow(_sketch, "node long, _w int, _s binary")
     sketches = written(sketches, "sketches")
     tried = stars.select(F.least("node", "rep").alias("node"), F.greatest("node", "rep").alias("rep"))
-    pairs = open_pairs(rest.join(sketches.select("node", "_w"), "node"), threshold).join(tried, ["node", "rep"], "left_anti")
-    pairs = written(pairs, "open-pairs")
-    for a, k in (("node", "x"), ("rep", "y")):
-        pairs = pairs.join(sketches.select(F.col("node").alias(a), F.col("_w").alias(f"_w{k}"), F.col("_s").alias(f"_s{k}")), a)
-    pairs = written(pairs.mapInArrow(_may_be_similar(threshold), "node long, rep long"), "close-pairs")
-    return written(links.union(similar(pairs, sets, "node", "rep", threshold)), "all-links")
+    pairs = open_pairs(rest.join(sketches, "node"), threshold).join(tried, ["node", "rep"], "left_anti")
+    pairs = written(pairs, "close-pairs")
+    out = written(links.union(similar(pairs, sets, "node", "rep", threshold)), "all-links")
+    discard(members, sets, stars, links, now, rest, sketches, pairs)
+    return out
 
 
 def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -212,20 +247,21 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     slim = docs.select("_rid", "doc_id", "text", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"))
     signed = written(slim.mapInArrow(_sign, "_rid long, doc_id long, k1 long, k2 long, bands array<long>"), "signed")
     filled = signed.where("size(bands) > 0")
-    copies = written(filled.groupBy("k1", "k2").agg(F.min("_rid").alias("node")), "copies")
+    first_row = F.min(F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id").alias("id"), F.col("_rid").alias("rid")))
+    copies = written(filled.groupBy("k1", "k2").agg(F.min("_rid").alias("node"), first_row.alias("first"), F.count("*").alias("n")), "copies")
     banded = filled.join(copies.select(F.col("node").alias("_rid")), "_rid", "left_semi")
     members = banded.select(F.col("_rid").alias("node"), F.explode("bands").alias("band"))
     texts = docs.select("_rid", "text")
     links = all_links(members, lambda nodes: shingle_sets(texts.join(nodes.withColumnRenamed("node", "_rid"), "_rid", "left_semi")), threshold)
     components = connected_components(links, "node", "rep")
-    named = copies.join(components, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("_class"))
-    rows = filled.select("_rid", "doc_id", "k1", "k2").join(named, ["k1", "k2"]).select("_rid", "doc_id", "_class")
-    rows = written(rows.union(signed.where("size(bands) = 0").select("_rid", "doc_id", F.col("_rid"))), "classes")
-    first_row = F.min(F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id").alias("id"), F.col("_rid").alias("rid")))
-    classes = rows.groupBy("_class").agg(first_row.alias("_first"), F.count("*").alias("class_size"))
-    return rows.join(classes, "_class").select(
-        "_rid", "doc_id", F.col("_first.id").alias("class_id"), "class_size", (F.col("_rid") == F.col("_first.rid")).alias("kept")
-    )
+    # what a class has in common is added up and joined over distinct texts first
+    named = written(copies.join(components, "node", "left").select("k1", "k2", "first", "n", F.coalesce("component", "node").alias("_class")), "named")
+    classes = written(named.groupBy("_class").agg(F.min("first").alias("_first"), F.sum("n").alias("class_size")), "classes")
+    classed = written(named.join(classes, "_class").select("k1", "k2", "_first", "class_size"), "classed")
+    rows = filled.select("_rid", "doc_id", "k1", "k2").join(classed, ["k1", "k2"]).select("_rid", "doc_id", "_first", "class_size")
+    alone = F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id").alias("id"), F.col("_rid").alias("rid"))
+    rows = rows.union(signed.where("size(bands) = 0").select("_rid", "doc_id", alone, F.lit(1).cast("long")))
+    return rows.select("_rid", "doc_id", F.col("_first.id").alias("class_id"), "class_size", (F.col("_rid") == F.col("_first.rid")).alias("kept"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
