@@ -2,8 +2,12 @@
 
 import pytest
 from tests.oracle import DATA, connected, difference
-from textguard.plans.oracles import ORACLES
-from textguard.plans.queries import QUERIES
+from textguard.plans.oracles import ORACLES as SCANNER_SQL
+from textguard.plans.queries import QUERIES as SCANNER
+from textguard.plans.service import QUERIES as SERVICE
+from textguard.plans.service_sql import ORACLES as SERVICE_SQL
+
+QUERIES, ORACLES = SCANNER | SERVICE, SCANNER_SQL | SERVICE_SQL
 
 
 @pytest.fixture(scope="module")
@@ -17,7 +21,7 @@ def test_oracle(spark, con, name):
 
 
 def test_every_other_query_has_sql():
-    assert set(QUERIES) - set(ORACLES) == {"rate_limit", "safe_replace"}
+    assert set(QUERIES) - set(ORACLES) == {"rate_limit", "safe_replace", "payload_ids", "semantic_narrow", "word_pieces"}
 
 
 def test_rate_limit_against_a_loop(spark):

@@ -37,12 +37,14 @@ def latest_by(rows: DataFrame, key: str, at: str, tie: str) -> DataFrame:
     return best.select(key, "r.*")
 
 
-def debounced(events: DataFrame, key: str, at: str, value: str, gap_ms: int) -> DataFrame:
-    """A row for each burst of a key's events: its end, size and last value. Events
-    ``gap_ms`` apart or less belong together. The batch twin of the streaming form."""
-    events = events.withColumn(at, F.col(at).cast("timestamp"))
+def debounced(events: DataFrame, key: str, at: str, value: str, gap_ms: int | Column) -> DataFrame:
+    """A row for each burst of a key's events: its end, size and last value. Events that
+    follow within ``gap_ms`` belong together; the gap may depend on the event before (a
+    paste waits less than typing does). The batch twin of the streaming form. A key's
+    events are one group of a window."""
+    events = events.withColumn(at, F.col(at).cast("timestamp")).withColumn("_gap", gap_ms if isinstance(gap_ms, Column) else F.lit(gap_ms))
     order = W.partitionBy(key).orderBy(at, value)
-    far = F.unix_micros(F.col(at)) - F.unix_micros(F.lag(at).over(order)) > gap_ms * 1000
+    far = F.unix_micros(F.col(at)) - F.unix_micros(F.lag(at).over(order)) > F.lag("_gap").over(order) * 1000
     marked = events.withColumn("_new", F.coalesce(far, F.lit(True)).cast("int"))
     marked = marked.withColumn("_burst", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0)))
     out = marked.groupBy(key, "_burst").agg(F.max(at).alias("ended"), F.count("*").alias("n_events"), F.max_by(value, F.struct(at, value)).alias("last_value"))
@@ -115,9 +117,12 @@ def linear_head(vectors: DataFrame, labels: list[tuple[str, list[float], float,
 def rate_limited(events: DataFrame, key: str, at_ms: str, limit: int = 60, window_ms: int = 60_000) -> DataFrame:
     """``events`` and accepted: at most ``limit`` accepted events of a key in any
     window; those refused don't count. Acceptance feeds back, so a key's events are
-    walked in order, a batch at a time, with the last ``limit`` times as the state."""
+    walked in order, a batch at a time, with the last ``limit`` times as the state.
+    Events of one key at one time are taken as the rest of their columns sorts. A key's
+    events are one stream by nature and pass through one task, which holds no more than
+    a batch and the state."""
     schema = events.withColumn("accepted", F.lit(True)).schema
-    dealt = events.repartition(key).sortWithinPartitions(key, at_ms)
+    dealt = events.repartition(key).sortWithinPartitions(key, at_ms, *[c for c in events.columns if c not in (key, at_ms)])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from collections import deque
