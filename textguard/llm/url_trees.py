@@ -3,8 +3,9 @@
 Rules name a host and the beginning of a path; the longest that fits decides.
 The URLs that rules decide are the labelled ones: boosted trees learn from them
 and judge the rest by lexical features alone: lengths, depth, digits, entropy,
-parameters, and statistics of the host's suffix (its frequency in the corpus
-and the smoothed blocked share of its labelled URLs).
+parameters, and statistics of the host's suffix and of the path's first
+directory (their frequency in the corpus and the smoothed blocked share of
+their labelled URLs).
 
 Features are DataFrame expressions and suffix statistics cover all pages. Trees
 are fitted on at most SAMPLE_ROWS labelled URLs. Suffix statistics are
@@ -39,7 +40,7 @@ RULES = (
 SAMPLE_ROWS = 20_000
 MOST_SUFFIXES = 50_000
 BINS = 32
-FEATURES = ("length", "host_length", "path_length", "depth", "digit_ratio", "entropy", "parameters", "hyphens", "host_dots", "longest_part", "has_fragment", "has_extension", "suffix_log_count", "suffix_blocked")
+FEATURES = ("length", "host_length", "path_length", "depth", "digit_ratio", "entropy", "parameters", "hyphens", "host_dots", "longest_part", "has_fragment", "has_extension", "suffix_log_count", "suffix_blocked", "head_log_count", "head_blocked")
 
 
 def parts(df: DataFrame) -> DataFrame:
@@ -91,22 +92,24 @@ def lexical(df: DataFrame) -> DataFrame:
             "has_fragment": F.contains(url, F.lit("#")).cast("double"),
             "has_extension": last.rlike(r"\.[A-Za-z0-9]{1,5}$").cast("double"),
             "_suffix": F.substring_index("host", ".", -1),
+            # a directory, such as that of a language; a path's only part is no directory
+            "_head": F.regexp_extract(F.lower("path"), r"^/([^/]+)/", 1),
         }
     )
     return df.drop("_url", "_kinds")
 
 
 def with_suffix_statistics(df: DataFrame) -> DataFrame:
-    per = df.groupBy("_suffix").agg(F.count("*").alias("_n"), F.count("_verdict").alias("_labelled"), F.count(F.when(F.col("_verdict") == "block", 1)).alias("_blocked"))
-    small = per.limit(MOST_SUFFIXES + 1).count() <= MOST_SUFFIXES
-    df = df.join(F.broadcast(per) if small else per, "_suffix")
-    return df.withColumns(
-        {
-            "suffix_log_count": F.log1p("_n"),
-            # ten pseudo-labels keep a rare suffix, and so a URL's own label, near one half
-            "suffix_blocked": (F.col("_blocked") + 5.0) / (F.col("_labelled") + 10.0),
-        }
-    )
+    """``df`` and, of the host's suffix and of the path's first part, how many URLs share
+    it and how often labelled ones are blocked. Tables of up to MOST_SUFFIXES rows are
+    broadcast, larger ones joined by a shuffle."""
+    for key, name in (("_suffix", "suffix"), ("_head", "head")):
+        per = df.groupBy(key).agg(F.count("*").alias("_n"), F.count("_verdict").alias("_labelled"), F.count(F.when(F.col("_verdict") == "block", 1)).alias("_blocked"))
+        # ten pseudo-labels keep a rare suffix, and so a URL's own label, near one half
+        per = per.select(key, F.log1p("_n").alias(f"{name}_log_count"), ((F.col("_blocked") + 5.0) / (F.col("_labelled") + 10.0)).alias(f"{name}_blocked"))
+        small = per.limit(MOST_SUFFIXES + 1).count() <= MOST_SUFFIXES
+        df = df.join(F.broadcast(per) if small else per, key)
+    return df
 
 
 class Trees:
