@@ -194,6 +194,21 @@ def session_allowlist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.without_values(rows, allowed).select("doc_id", "start", "original_value")
 
 
+def allowlist_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All accepted findings but those whose fingerprint a stored list has."""
+    k = F.col("c_custkey").cast("string")
+    known = _read(spark, sf_dir, "customer").select(S.fingerprint(F.concat(F.lit("node"), k, F.lit(".corp")), SALT).alias("fingerprint"))
+    known = known.union(_read(spark, sf_dir, "customer").select(S.fingerprint(F.concat(F.lit("user"), k, F.lit("@corp"), (F.col("c_custkey") % 7).cast("string"), F.lit(".com")), SALT)))
+    return resolve.allowed(resolve.exploded(resolve.resolved(inputs(spark, sf_dir))), known, SALT).select("doc_id", "start", "detector", "original_value")
+
+
+def overlap_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether any event of another kind overlaps a click, at any confidence."""
+    start = (F.col("event_id") * 7919 % 100_000).cast("int")
+    e = _read(spark, sf_dir, "events").select("event_id", "user_id", "event_type", start.alias("start"), (start + 20 + F.col("event_id") % 30).cast("int").alias("end"))
+    return state.overlaps(e.where("event_type = 'click'"), e.where("event_type <> 'click'"), "user_id").select("event_id", "replacement_safe")
+
+
 def layout_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, n = F.col("l_orderkey"), F.col("l_linenumber")
     items = _read(spark, sf_dir, "lineitem").select(
@@ -271,6 +286,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         file_scan, file_warnings, file_copies, history_record, history_validate, history_recent, allowlist_upsert, allowlist_migrate, feedback_record, contribution_payload, payload_rules, payload_ids,
-        settings_normalize, error_codes, origin_filter, top_findings, session_allowlist, layout_join, paste_debounce, semantic_findings, semantic_merge, semantic_narrow, word_pieces, sensitive_keys, stand_ins,
+        settings_normalize, error_codes, origin_filter, top_findings, session_allowlist, allowlist_filter, overlap_all, layout_join, paste_debounce, semantic_findings, semantic_merge, semantic_narrow, word_pieces, sensitive_keys, stand_ins,
     )
 }
