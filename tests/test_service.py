@@ -153,3 +153,28 @@ def test_a_long_text_of_addresses_is_linear(spark):
     began = time.time()
     assert resolve.exploded(resolve.resolved(df)).count() == 4000
     assert time.time() - began < 30
+
+
+def test_safe_replacement_of_given_findings(spark):
+    text = "We met. The customer named Blue Harbor signed the renewal! Mail jo@firm.io now."
+    kind = "array<struct<detector:string, category:string, start:int, end:int, original_value:string, replacement_safe:boolean>>"
+    at = text.index("jo@firm.io")
+    found = [("semantic", "Customer-specific information", 0, text.index(" Mail"), text[: text.index(" Mail")], None), ("email", "Email address", at, at + 10, "jo@firm.io", True), ("email", "Email address", 3, 6, "met", False), ("email", "Email address", -1, 4, "x", True), ("email", "Email address", at + 2, 10**6, "x", True)]
+    df = spark.createDataFrame([(1, text, found), (None, "plain", []), (1, None, None)], f"doc_id long, text string, findings {kind}")
+    out = [r["text"] for r in resolve.safe_replaced(df, lambda d: df).collect()]
+    assert out == ["We met. The customer named Example_Customer signed the renewal! Mail example@example.com now.", "plain", None]
+
+
+def test_usable_spots_against_a_loop(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    cases = [[(int(a), int(a + rng.integers(-1, 9)), bool(rng.random() < 0.8)) for a in rng.integers(-2, 60, 25)] for _ in range(50)]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, s array<struct<start:int, end:int, safe:boolean>>")
+    for r in df.select("i", resolve.usable(F.col("s"), F.lit(60)).alias("u")).collect():
+        kept, at = [], 60
+        for a, b, safe in sorted(cases[r["i"]], key=lambda x: -x[0]):
+            if safe and 0 <= a < b <= 60 and b <= at:
+                kept.append((a, b, safe))
+                at = a
+        assert [tuple(x) for x in r["u"]] == kept[::-1]

@@ -6,11 +6,14 @@ done within the row, without a shuffle; ids may be null or repeat.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textguard.functions import scalars as S
 from textguard.functions.scalars import let, settled_row
+from textguard.operators import semantic
 from textguard.operators.detect import with_findings
 
 #: Findings that are put into a text in one piece of work.
@@ -107,6 +110,7 @@ def placeholder(f: Column) -> Column:
         .when(category == "Access token", "Example_Token")
         .when(category == "Private key value", "Example_Private_Key")
         .when(category == "Assigned secret", "Example_Secret")
+        .when(detector == "semantic", semantic.placeholder(category))
         .otherwise("Example_Sensitive_Value")
     )
 
@@ -116,17 +120,55 @@ def with_placeholder(findings: DataFrame) -> DataFrame:
     return findings.withColumn("placeholder", placeholder({c: F.col(c) for c in ("detector", "category", "original_value")}))
 
 
-def safe_replaced(docs: DataFrame) -> DataFrame:
+def usable(spots: Column, n: Column) -> Column:
+    """The spots (start, end, safe) that can be replaced in a text of ``n`` characters, by
+    start: within the text, safe, and of those that overlap the last by start."""
+    inside = F.filter(spots, lambda x: (x["start"] >= 0) & (x["end"] > x["start"]) & (x["end"] <= n) & x["safe"])
+    backwards = F.array_sort(F.transform(inside, lambda x, i: F.struct((-x["start"]).alias("a"), i.alias("i"), x.alias("x"))))
+    first = F.struct(F.slice(spots, 1, 0).alias("kept"), F.lit(2**31 - 1).alias("at"))
+
+    def step(acc: Column, y: Column) -> Column:
+        x = y["x"]
+        taken = F.struct(F.array_append(acc["kept"], x).alias("kept"), x["start"].cast("int").alias("at"))
+        return F.when(x["end"] <= acc["at"], taken).otherwise(acc)
+
+    return F.reverse(F.aggregate(backwards, first, step, lambda acc: acc["kept"]))
+
+
+def safe_replaced(docs: DataFrame, scanner: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """doc_id, text: findings replaced by placeholders, then what a second scan of the
     outcome still finds. Equal values of a text get one placeholder, that of the last
-    of them; the second pass keeps to it."""
-    spots = lambda f: F.transform(f, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["original_value"].alias("value"), placeholder(x).alias("placeholder")))
+    of them; the second pass keeps to it.
+
+    ``scanner`` adds the first pass's findings to rows (doc_id, text) in place of the
+    detectors; semantic ones among them are narrowed, and those that aren't safe to
+    replace, overlap or leave the text are passed over.
+    """
+    if scanner is None:
+        found, safe = resolved(docs.select("doc_id", "text")), lambda x: F.lit(True)
+    else:
+        found = settled_row(scanner(docs.select("doc_id", "text")).select("doc_id", "text", "findings"))
+        fields = found.schema["findings"].dataType.elementType.names
+        safe = (lambda x: F.coalesce(x["replacement_safe"], F.lit(True))) if "replacement_safe" in fields else (lambda x: F.lit(True))
+
+    def spot(x: Column, start: Column, end: Column, value: Column) -> Column:
+        return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), value.alias("value"), placeholder(x).alias("placeholder"), safe(x).alias("safe"))
+
+    def narrow(x: Column) -> Column:
+        at = F.when(x["detector"] == "semantic", semantic.narrowed(F.col("text"), x["start"], x["end"], x["category"]))
+        at = F.coalesce(at, F.struct(x["start"].cast("int").alias("start"), x["end"].cast("int").alias("end")))
+        return let(at, lambda n: spot(x, n["start"], n["end"], F.substring(F.col("text"), n["start"] + 1, n["end"] - n["start"])))
+
+    plain = lambda x: spot(x, x["start"], x["end"], x["original_value"])
+    spots = lambda f: F.transform(f, plain)
+    chosen = spots(F.col("findings")) if scanner is None else usable(F.transform("findings", narrow), F.length("text"))
 
     def replaced() -> Column:
         same = lambda x: F.coalesce(F.element_at(F.col("_memo"), x["value"]), x["placeholder"])
         return rewritten(F.col("text"), F.transform("_spots", lambda x: x.withField("placeholder", same(x))), "placeholder")
 
-    first = settled_row(resolved(docs.select("doc_id", "text")).select("doc_id", "text", spots(F.col("findings")).alias("_spots")))
+    first = settled_row(found.select("doc_id", "text", chosen.alias("_spots")))
+    safe = lambda x: F.lit(True)
     # of equal values, the last
     in_order = F.array_sort(F.transform("_spots", lambda x: F.struct(x["value"].alias("value"), x["start"].alias("start"), x["placeholder"].alias("placeholder"))))
     last = let(in_order, lambda z: F.filter(z, lambda x, i: ~F.get(z, i + 1)["value"].eqNullSafe(x["value"])))

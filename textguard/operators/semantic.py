@@ -48,6 +48,11 @@ def _by_category(category: Column, makes: dict[str, Column], other: Column) -> C
     return other
 
 
+def placeholder(category: Column) -> Column:
+    """The neutral value of a category."""
+    return _by_category(category, {name: F.lit(x) for _, name, _, x, _ in LABELS}, F.lit("Example_Sensitive_Detail"))
+
+
 def context_score(segment: Column, category: Column) -> Column:
     """How many words of the category's context a segment has; null for an unknown category."""
     makes = {name: F.size(F.regexp_extract_all(segment, F.lit(f"(?i){B}(?:{words}){B}"), F.lit(0))) for _, name, _, _, words in LABELS}
