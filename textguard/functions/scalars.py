@@ -102,6 +102,7 @@ def is_placeholder(value: Column, context: Column | None = None) -> Column:
 def stands_for_secret(v: Column, context: Column | None = None) -> Column:
     """The same for a value that is unwrapped and in lower case already."""
     canonical = F.regexp_replace(v, r"[\s_.]+", "-")
+    # fixed values: patterns of stand-ins
     out = (v == "") | v.isin(*PLACEHOLDERS) | canonical.isin(*PLACEHOLDERS)
     out = out | v.rlike(r"^x{4,}\z") | v.rlike(r"^\*{4,}\z")
     out = out | v.rlike(r"^(gh[pousr]_|github_pat_|sk[-_][a-z0-9_-]*|xox[baprs]-)x{8,}\z")
@@ -114,7 +115,7 @@ def stands_for_secret(v: Column, context: Column | None = None) -> Column:
 
 
 def is_documentation_value(value: Column) -> Column:
-    """Hosts and addresses that are reserved for documentation."""
+    """Hosts and addresses that are reserved for documentation (fixed values)."""
     v = F.lower(value)
     return (
         (v == "localhost")
@@ -125,6 +126,7 @@ def is_documentation_value(value: Column) -> Column:
 
 
 def is_uuid(value: Column) -> Column:
+    """Fixed value: the form of a UUID."""
     return value.rlike(r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[1-8][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}\z")
 
 
@@ -140,6 +142,7 @@ def normalized_key(key: Column) -> Column:
 def key_kind(key: Column) -> Column:
     """password, api-key, token, secret or private-key; null for a key that isn't sensitive."""
     k = normalized_key(key)
+    # fixed values: parts of keys
     denied = k.rlike(r"(^|_)(count|limit|length|size|type|name|message|algorithm|format|timeout|ttl|max|min)(_|\z)")
     denied = denied | k.rlike("public_key|tokenizer|tokenization|secret_message")
     ends = lambda names: k.rlike(rf"(^|_)({names})\z")

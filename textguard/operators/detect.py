@@ -190,7 +190,7 @@ def _parts_key(value: Column) -> Column:
 _BODY = r"[^\n]*\S"
 _LABEL = r"[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?"
 
-#: In the order in which findings are emitted. Categories, replacement and
+#: In the order in which findings are emitted. Patterns, categories, replacement and
 #: example values are fixed values.
 DETECTORS = (
     Detector("detect_pem", "privateKey", "Private key", "critical", 0.99, r"-----BEGIN (RSA PRIVATE KEY|EC PRIVATE KEY|PRIVATE KEY)-----[\s\S]*?-----END \1-----", ("PRIVATE KEY-----",), "[PRIVATE_KEY_REDACTED]", "SAFE_EXAMPLE_PRIVATE_KEY_NOT_REAL", 27, "", "signature", "pem,private-key", 0, _signature),

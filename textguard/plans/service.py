@@ -209,6 +209,14 @@ def overlap_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.overlaps(e.where("event_type = 'click'"), e.where("event_type <> 'click'"), "user_id").select("event_id", "replacement_safe")
 
 
+def site_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The site of each page by its whole host; hosts of three pages or more are sites."""
+    host = F.lower(F.regexp_extract("url", r"://([^/?#:]+)", 1))
+    pages = _read(spark, sf_dir, "pages").select("page_id", host.alias("host"))
+    sites = pages.groupBy("host").agg(F.count("*").alias("n")).where("n >= 3").select("host", F.concat(F.lit("site-"), "host").alias("site"))
+    return pages.join(sites, "host").select("page_id", "site")
+
+
 def layout_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, n = F.col("l_orderkey"), F.col("l_linenumber")
     items = _read(spark, sf_dir, "lineitem").select(
@@ -286,6 +294,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         file_scan, file_warnings, file_copies, history_record, history_validate, history_recent, allowlist_upsert, allowlist_migrate, feedback_record, contribution_payload, payload_rules, payload_ids,
-        settings_normalize, error_codes, origin_filter, top_findings, session_allowlist, allowlist_filter, overlap_all, layout_join, paste_debounce, semantic_findings, semantic_merge, semantic_narrow, word_pieces, sensitive_keys, stand_ins,
+        settings_normalize, error_codes, origin_filter, top_findings, session_allowlist, allowlist_filter, overlap_all, site_exact, layout_join, paste_debounce, semantic_findings, semantic_merge, semantic_narrow, word_pieces, sensitive_keys, stand_ins,
     )
 }

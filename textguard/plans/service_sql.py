@@ -96,6 +96,7 @@ ORACLES = {
     "allowlist_filter": f"""SELECT doc_id, start, detector, original_value FROM ({EXPLODED}) AS e0 WHERE original_value NOT IN (SELECT 'node' || c_custkey || '.corp' FROM customer UNION ALL SELECT 'user' || c_custkey || '@corp' || (c_custkey % 7) || '.com' FROM customer)""",
     "overlap_all": """WITH e AS (SELECT event_id, user_id, event_type, (event_id * 7919 % 100000)::INTEGER AS start, (event_id * 7919 % 100000 + 20 + event_id % 30)::INTEGER AS "end" FROM events)
       SELECT event_id, NOT EXISTS (SELECT 1 FROM e AS o WHERE o.user_id = x.user_id AND o.event_type <> 'click' AND x.start < o."end" AND x."end" > o.start) AS replacement_safe FROM e AS x WHERE event_type = 'click'""",
+    "site_exact": r"WITH p AS (SELECT page_id, lower(regexp_extract(url, '://([^/?#:]+)', 1)) AS host FROM pages) SELECT page_id, 'site-' || host AS site FROM p WHERE host IN (SELECT host FROM p GROUP BY host HAVING count(*) >= 3)",
     "layout_join": """WITH i AS (SELECT l_orderkey AS p, l_linenumber AS n, 't' || l_linenumber AS s, CASE WHEN (l_orderkey + l_linenumber) % 11 <> 0 THEN l_linenumber * 10 + l_orderkey % 3 END AS x, CASE WHEN (l_orderkey + l_linenumber) % 7 <> 0 THEN 700 - floor(l_linenumber / 3) * 12 END AS y,
         7 + (l_orderkey + l_linenumber) % 5 AS w, (l_orderkey + l_linenumber) % 6 = 0 AS eol FROM lineitem WHERE (l_orderkey + l_linenumber) % 13 <> 0),
       j AS (SELECT *, lag(y) OVER o AS py, lag(x + w) OVER o AS pe, coalesce(lag(eol) OVER o, true) AS cut FROM i WINDOW o AS (PARTITION BY p ORDER BY n))
