@@ -6,7 +6,9 @@ written as Parquet and read again as the next stage's documents.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from textguard.llm import mixing, near_dedup, paragraph_dedup, pieces, quality_rules
 from textguard.llm.common import table, written
@@ -29,7 +31,14 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pieces.encode_documents(docs)
+    """The texts as ids, with their place in the training order: the mix is written in
+    that order, so a row's file and its place in it tell where it stands (rows that come
+    from no file are numbered as they come)."""
+    try:
+        rows = docs.select("doc_id", "text", F.col("_metadata.file_name").alias("order_file"), F.col("_metadata.row_index").alias("order_row"))
+    except AnalysisException:
+        rows = docs.select("doc_id", "text", F.lit(None).cast("string").alias("order_file"), F.monotonically_increasing_id().alias("order_row"))
+    return pieces.encode_documents(rows, carry=("order_file", "order_row"))
 
 
 STAGES = [
