@@ -90,6 +90,14 @@ def test_streams(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == spark.read.parquet(str(tmp_path / "out")).select("event_id").distinct().count()
 
 
+def test_sink_by_day_adds_each_key_once(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"2024-01-0{i % 3 + 1}", f"v{i}") for i in range(30)], "id long, day string, v string")
+    write = idempotent_sink(str(tmp_path / "days"), "id", "day")
+    for epoch, part in enumerate((rows.where("id < 20"), rows.where("id < 20"), rows)):
+        write(part, epoch)
+    assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "days")).collect()) == list(range(30))
+
+
 PEM_BODY = "MHcCAQEEIIrYSSNQFaA2Hwf1duRSxKtLYX5CB04fSeQ6tF1aY"
 STRUCTURED = [
     ("mysql://app:s3cretpw9@db.corp:3306/x, and", "databaseUrl", 0.98),

@@ -20,20 +20,25 @@ def debounced_stream(events: DataFrame, key: str, at: str, value: str, gap: str
     return out.select(key, F.col("w.start").alias("started"), "n_events", "last_value")
 
 
-def idempotent_sink(path: str, key: str):
+def idempotent_sink(path: str, key: str, day: str | None = None):
     """A function for foreachBatch that appends the rows of a batch whose key the table
-    lacks: a batch that is replayed adds nothing."""
+    lacks: a batch that is replayed adds nothing. With a column ``day`` that a key always
+    has alike, the table is partitioned by it and only the batch's own days are read."""
 
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         fresh = batch.dropDuplicates([key])
         try:
-            known = spark.read.parquet(path).select(key)
+            known = spark.read.parquet(path)
+            if day:  # a row for each day of the batch
+                known = known.where(F.col(day).isin([r[0] for r in fresh.select(day).distinct().collect()]))
+            known = known.select(key)
         except Exception as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
         else:
             fresh = fresh.join(known, key, "left_anti")
-        fresh.write.mode("append").parquet(path)
+        out = fresh.write.mode("append")
+        (out.partitionBy(day) if day else out).parquet(path)
 
     return write
