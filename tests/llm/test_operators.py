@@ -7,7 +7,6 @@ import re
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
-from pyspark.sql import functions as F
 from tests.oracle import DATA, connected, difference
 from textguard.llm import html_main, imatch, lang_crf, mixing, near_dedup, paragraph_dedup, pieces, quality_net, quality_rules, url_trees
 from textguard.llm.graph import connected_components
@@ -208,11 +207,6 @@ def test_main_text(html, text):
     assert html_main.main_text(html) == text
 
 
-def test_pages_against_their_articles(spark):
-    for r in QUERIES["op7_main_text"](spark, DATA).collect():
-        assert r["n_chars"] == len(r["text"]) and r["text"]
-
-
 # op8
 
 
@@ -257,14 +251,12 @@ def test_url_rules_against_a_loop(spark):
     assert url_trees.judge_urls(df.limit(0)).count() == 0
 
 
-def test_passages_on_odd_rows(spark):
-    assert paragraph_dedup.repeated_passages(odd(spark)).where(F.col("removed")).count() >= 0
-
-
 def test_pipeline(spark):
     import corpus_pipeline
 
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_duplicates", "repeated_passages", "mix_sources", "sentencepiece"]
     rows = corpus_pipeline.run(spark, DATA)
-    assert rows.columns == ["doc_id", "n_tokens", "ids", "exact"]
+    assert rows.columns == ["doc_id", "n_tokens", "ids", "exact", "order_file", "order_row"]
+    places = [(r["order_file"], r["order_row"]) for r in rows.select("order_file", "order_row").collect()]
+    assert len(places) == len(set(places))
     assert rows.count() > 0 and rows.where("NOT exact").count() == 0

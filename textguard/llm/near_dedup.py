@@ -9,9 +9,9 @@ shingles send one. Two documents agree in a component with the probability
 Jaccard similarity of their sets.
 
 Signatures are cut into bands; documents that agree in a band are candidates.
-Candidates are linked to the band's most central document first; every pair of a
-band that this leaves in different components is then compared as well, block by
-block, by sketches that rule out most pairs and no similar one.
+Candidates are linked to the band's most central document first; what this leaves
+in different components is linked to one partner each, and every pair that is
+then still apart is compared as well, block by block, by sketches that rule out most pairs and no similar one.
 Links are verified by the exact Jaccard similarity of the distinct shingles.
 Exact copies count as one text until the end, so a group of copies of any size
 costs as much as one of them.
@@ -138,22 +138,27 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(counts.astype(np.int32)), pa.array(sketches, pa.binary())], names=["node", "_w", "_s"])
 
 
-def _close(node: np.ndarray, c: np.ndarray, w: np.ndarray, s: np.ndarray, one: np.ndarray, two: np.ndarray | None, threshold: float) -> Iterator[np.ndarray]:
+def _close(node: np.ndarray, c: np.ndarray, w: np.ndarray, s: np.ndarray, one: np.ndarray, two: np.ndarray | None, threshold: float, once: bool) -> Iterator[np.ndarray]:
     """Pairs of ``one`` and ``two`` (or among ``one``) in different components whose sets may be similar.
 
     Loses none: every bit in which two sketches differ is an item at least that one
-    set has and the other has not.
+    set has and the other has not. With ``once``, a member is given one partner only.
     """
     most = (1 - threshold) / (1 + threshold)
+    has = np.zeros(len(node), bool)
     for k, x in enumerate(one):
+        if once and two is None and has[x]:
+            continue
         y = one[k + 1 :] if two is None else two
+        y = y[~has[y]] if once else y
         y = y[(c[y] != c[x]) & (w[y] * threshold <= w[x] + 1e-6) & (w[x] * threshold <= w[y] + 1e-6)]
         if len(y):
             y = y[np.bitwise_count(s[y] ^ s[x]).sum(axis=1, dtype=np.int64) <= (w[y] + w[x]) * most + 1e-6]
+            has[y] = once
             yield np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])], axis=1)
 
 
-def _compare_blocks(threshold: float):
+def _compare_blocks(threshold: float, once: bool):
     """For batches sorted by (band, _lo, _hi): the close pairs of each two blocks of a group."""
 
     def pairs(held: pa.RecordBatch | None, batch: pa.RecordBatch | None) -> tuple[list[np.ndarray], pa.RecordBatch | None]:
@@ -172,7 +177,7 @@ def _compare_blocks(threshold: float):
             if b - a > 1:
                 at = np.arange(a, b)
                 first, second = (at, None) if lo[a] == hi[a] else (at[i[a:b] == lo[a]], at[i[a:b] == hi[a]])
-                out += _close(node, c, w, s, first, second, threshold)
+                out += _close(node, c, w, s, first, second, threshold, once)
         return out, held
 
     def made(out: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +195,7 @@ def _compare_blocks(threshold: float):
     return run
 
 
-def open_pairs(rest: DataFrame, threshold: float) -> DataFrame:
+def open_pairs(rest: DataFrame, threshold: float, once: bool = False) -> DataFrame:
     """Distinct pairs (node, rep), node < rep, of members of one group that are in
     different components and whose sketches allow the similarity asked.
 
@@ -198,12 +203,13 @@ def open_pairs(rest: DataFrame, threshold: float) -> DataFrame:
     size of the set) and _s (its sketch). A group is dealt into blocks; each two
     blocks are compared as one piece of work, and only pairs that may be similar
     leave it: a large group is the work of many tasks and never a table of pairs.
+    With ``once``, a member gets one partner at most of two blocks.
     """
     blocks = F.ceil(F.col("_n") / BLOCK).cast("int")
     dealt = rest.withColumn("_i", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("_j", F.explode(F.sequence(F.lit(0), blocks - 1)))
     dealt = dealt.select("band", F.least("_i", "_j").alias("_lo"), F.greatest("_i", "_j").alias("_hi"), "_i", "node", "c", "_w", "_s")
     keys = ["band", "_lo", "_hi"]
-    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_compare_blocks(threshold), "node long, rep long").distinct()
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_compare_blocks(threshold, once), "node long, rep long").distinct()
 
 
 def all_links(members: DataFrame, sets_of: Callable[[DataFrame], DataFrame], threshold: float) -> DataFrame:
@@ -226,20 +232,23 @@ def all_links(members: DataFrame, sets_of: Callable[[DataFrame], DataFrame], thr
     reps = members.groupBy("band").agg(F.max(F.struct("_c", "node")).alias("_r")).select("band", F.col("_r.node").alias("rep"))
     stars = written(members.join(reps, "band").where("node <> rep").select("node", "rep").distinct(), "stars")
     links = written(similar(stars, sets, "node", "rep", threshold), "star-links")
-    # groups of more than one component
-    labels = connected_components(links, "node", "rep")
-    now = members.join(labels, "node", "left").select("node", "band", "_n", F.coalesce("component", "node").alias("c"))
-    now = written(now, "labelled")
-    several = now.groupBy("band").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi")).where("_lo < _hi").select("band")
-    rest = written(now.join(several, "band", "left_semi"), "rest")
-    sketches = sets.join(rest.select("node").distinct(), "node", "left_semi").mapInArrow(_sketch, "node long, _w int, _s binary")
-    sketches = written(sketches, "sketches")
     tried = stars.select(F.least("node", "rep").alias("node"), F.greatest("node", "rep").alias("rep"))
-    pairs = open_pairs(rest.join(sketches, "node"), threshold).join(tried, ["node", "rep"], "left_anti")
-    pairs = written(pairs, "close-pairs")
-    out = written(links.union(similar(pairs, sets, "node", "rep", threshold)), "all-links")
-    discard(members, sets, stars, links, now, rest, sketches, pairs)
-    return out
+    # what is apart is joined by one partner each first, so that a cluster of like texts is
+    # in one component when all that is still apart is compared
+    for once in (True, False):
+        labels = connected_components(links, "node", "rep")
+        now = members.join(labels, "node", "left").select("node", "band", "_n", F.coalesce("component", "node").alias("c"))
+        now = written(now, "labelled")
+        several = now.groupBy("band").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi")).where("_lo < _hi").select("band")
+        rest = written(now.join(several, "band", "left_semi"), "rest")
+        sketches = sets.join(rest.select("node").distinct(), "node", "left_semi").mapInArrow(_sketch, "node long, _w int, _s binary")
+        pairs = open_pairs(rest.join(written(sketches, "sketches"), "node"), threshold, once).join(tried, ["node", "rep"], "left_anti")
+        pairs = written(pairs, "close-pairs")
+        links = written(links.union(similar(pairs, sets, "node", "rep", threshold)), "all-links")
+        tried = tried.union(pairs)
+        discard(now, rest)
+    discard(members, sets, stars)
+    return links
 
 
 def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
