@@ -105,12 +105,13 @@ def units(texts: list, cache: UnitHashes) -> tuple[np.ndarray, ...]:
     long = np.diff(np.concatenate([[-1], at])) >= MIN_NEAR
     last = np.append(word_text[1:] != word_text[:-1], True)[at]
     ends[at] = long | np.append(long[1:], True) | last | ((flat[at] >> np.uint64(17)) % np.uint64(3) == 0)
+    # a long sentence is cut; a piece too short for a shingle goes with its neighbour in the sentence
     size = np.diff(np.concatenate([[-1], np.flatnonzero(ends)]))
-    ends |= (np.repeat(size, size) > LONG_UNIT) & ((flat >> np.uint64(9)) % np.uint64(CUT_GAP) == 0)
-    # what is too short for a shingle goes with what follows: a word that repeats is no row of units
-    at = np.flatnonzero(ends)
-    last = np.append(word_text[1:] != word_text[:-1], True)[at]
-    ends[at] = last | (np.diff(np.concatenate([[-1], at])) >= SIZE)
+    cuts = ~ends & (np.repeat(size, size) > LONG_UNIT) & ((flat >> np.uint64(9)) % np.uint64(CUT_GAP) == 0)
+    at = np.flatnonzero(ends | cuts)
+    inner, short = cuts[at], np.diff(np.concatenate([[-1], at])) < SIZE
+    joined = inner & (short | np.append(short[1:] & ~inner[1:], False))
+    ends[at] = ~joined
     starts = np.concatenate([[0], np.flatnonzero(ends) + 1])
     owner = word_text[starts[:-1]]
     text_start = np.searchsorted(word_text, np.arange(len(texts)))
