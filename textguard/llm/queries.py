@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textguard.llm import html_main, imatch, lang_crf, mixing, near_dedup, paragraph_dedup, pieces, quality_net, quality_rules, url_trees
+from textguard.llm import html_main, imatch, lang_crf, mixing, near_dedup, paragraph_dedup, pieces, quality_net, quality_rules, url_trees, vector_codes, whitening, winnowing
 from textguard.llm.common import table
 
 
@@ -51,10 +51,23 @@ def op10_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_trees.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op11_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_language_crf, op2_curriculum_mix, op3_quality_rules, op4_repeated_passages, op5_near_duplicates,
         op6_imatch, op7_main_text, op8_sentencepiece, op9_quality_network, op10_url_trees,
+        op11_winnowing, op12_vector_codes, op13_whitening,
     )
 }
