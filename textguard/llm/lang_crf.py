@@ -238,12 +238,12 @@ class _Words(dict):
 
 def predict(docs: DataFrame, langs: list[str], weights: np.ndarray, transitions: np.ndarray) -> DataFrame:
     """``docs`` with columns doc_id, text, held_out: doc_id, held_out, lang_pred, score, n_words."""
-    most = 300_000
+    most = 150_000
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers, table, real = _Words(), np.zeros((0, len(langs)), np.float32), np.zeros(0, bool)
         for batch in batches:
-            for rows, texts in chunks(batch, most_chars=2_000_000):
+            for rows, texts in chunks(batch, most_chars=500_000):
                 if len(numbers) > most:
                     numbers, table, real = _Words(), table[:0], real[:0]
                 lists = [_LETTERS.findall(t) if t else [] for t in texts]
