@@ -57,6 +57,24 @@ def changed_only(rows: DataFrame, key: str, at: str, value: str) -> DataFrame:
     return rows.withColumn("_was", F.lag(value).over(order)).where(~F.col(value).eqNullSafe(F.col("_was"))).drop("_was")
 
 
+def current_scans(rows: DataFrame, key: str) -> DataFrame:
+    """key, arrival, version, status, n_findings: the scans of a key's texts that still count.
+
+    ``rows`` has key, arrival (its order), version, kind, text (null: empty) and n_findings.
+    Every row raises the key's version. A ``result`` of an older version than one that arrived
+    before is stale and dropped; one with the text of the last that counted is ``unchanged``
+    and has that one's findings; a ``final`` always counts. An ``input`` only raises the version.
+    """
+    order = W.partitionBy(key).orderBy("arrival")
+    before = F.max("version").over(order.rowsBetween(W.unboundedPreceding, -1))
+    counted = rows.withColumn("_stale", (F.col("kind") == "result") & F.coalesce(F.col("version") < before, F.lit(False)))
+    counted = counted.where("kind <> 'input' AND NOT _stale").withColumn("_mark", F.sha2(F.coalesce("text", F.lit("")), 256))
+    same = (F.col("kind") == "result") & F.coalesce(F.col("_mark") == F.lag("_mark").over(order), F.lit(False))
+    counted = counted.withColumn("_n", F.when(~same, F.struct("n_findings"))).withColumn("status", F.when(same, "unchanged").otherwise("complete"))
+    last = F.last("_n", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0))
+    return counted.select(key, "arrival", "version", "status", last["n_findings"].cast("long").alias("n_findings"))
+
+
 def merged_intervals(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Intervals (start, end, confidence) of a key merged where they overlap or touch."""
     order = W.partitionBy(*keys).orderBy("start", "end")

@@ -249,6 +249,14 @@ ORACLES |= {
     "debounce_sessions": """WITH e AS (SELECT *, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_type)) > 90000000, true)::INT AS f FROM events),
       g AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts, event_type ROWS UNBOUNDED PRECEDING) AS b FROM e)
       SELECT user_id, epoch_us(max(ts)) AS ended_us, count(*) AS n_events, last(event_type ORDER BY ts, event_type) AS last_value FROM g GROUP BY user_id, b""",
+    "current_scans": """WITH r AS (
+      SELECT user_id, event_id AS arrival, event_id // 16 - CASE WHEN event_id % 7 = 3 THEN event_id % 40 ELSE 0 END AS version,
+             CASE event_type WHEN 'purchase' THEN 'final' WHEN 'signup' THEN 'input' ELSE 'result' END AS kind, substr(event_type, 1, 1) AS text, event_id % 5 AS n FROM events),
+    s AS (SELECT *, coalesce(version < max(version) OVER (PARTITION BY user_id ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS older FROM r),
+    c AS (SELECT *, kind = 'result' AND coalesce(text = lag(text) OVER (PARTITION BY user_id ORDER BY arrival), false) AS same FROM s WHERE kind = 'final' OR kind = 'result' AND NOT older),
+    g AS (SELECT *, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY arrival) AS block FROM c)
+    SELECT user_id, arrival, version, CASE WHEN same THEN 'unchanged' ELSE 'complete' END AS status,
+           first_value(n) OVER (PARTITION BY user_id, block ORDER BY arrival) AS n_findings FROM g""",
     "dedupe_consecutive": "SELECT event_id, user_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS was FROM events) AS t WHERE event_type IS DISTINCT FROM was",
     "session_stats": "SELECT strftime(ts, '%Y-%m-%d') AS date, count(*) AS checks, sum(greatest(0, floor(coalesce(value, 0))))::BIGINT AS warnings FROM events GROUP BY 1",
     "history_retention": f"SELECT id, timestamp, action FROM (SELECT o_orderkey AS id, epoch_ms(o_orderdate) AS timestamp, o_orderpriority AS action FROM orders) AS t WHERE timestamp >= {NOW_MS} - 1825 * 86400000::BIGINT",

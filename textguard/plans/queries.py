@@ -147,6 +147,15 @@ def dedupe_consecutive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_id", "user_id", "event_type")
 
 
+def current_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event as a scan of its user's text, in order of arrival, of versions that fall back at times."""
+    i = F.col("event_id")
+    kind = F.when(F.col("event_type") == "purchase", "final").when(F.col("event_type") == "signup", "input").otherwise("result")
+    version = F.floor(i / 16) - F.when(i % 7 == 3, i % 40).otherwise(0)
+    rows = _events(spark, sf_dir).select("user_id", i.alias("arrival"), version.alias("version"), kind.alias("kind"), F.substring("event_type", 1, 1).alias("text"), (i % 5).alias("n_findings"))
+    return state.current_scans(rows, "user_id")
+
+
 def session_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.session_counters(_events(spark, sf_dir), "ts", "value")
 
@@ -221,7 +230,7 @@ QUERIES |= {
     for f in (
         scan_all, scan_toggled, resolve_overlaps, history_summary, redact, safe_placeholder, safe_replace, allowlist_anti, email_candidates,
         scalar_features, classify_key, placeholder_filter, char_freq, bounded_preview, basic_segments, token_chunks, linear_head,
-        merge_predictions, overlap_flag, debounce_sessions, dedupe_consecutive, session_stats, history_retention, history_tail,
+        merge_predictions, overlap_flag, debounce_sessions, dedupe_consecutive, current_scans, session_stats, history_retention, history_tail,
         latest_health, rate_limit, feedback_dedupe, payload_validate, site_lookup, file_format, selection_limit,
     )
 }
