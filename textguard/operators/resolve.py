@@ -6,8 +6,10 @@ done within the row, without a shuffle; ids may be null or repeat.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,19 @@ from textguard.operators.detect import with_findings
 
 #: Findings that are put into a text in one piece of work.
 GROUP = 128
+#: Findings of one text beyond which they are settled by sorted boundaries: island by
+#: island, those of a long chain would each be compared with all that are kept.
+MANY = 512
+
+
+def ranked(x: Column) -> Column:
+    """The order in which findings are settled: of a struct start, end, f (the finding)."""
+    f = x["f"]
+    return F.struct((-S.severity_rank(f["severity"])).alias("a"), (-f["confidence"]).alias("b"), (x["start"] - x["end"]).alias("c"), f["emission"].alias("d"), x["start"].alias("e"), x.alias("x"))
+
+
+def placed(findings: Column) -> Column:
+    return F.transform(findings, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x.alias("f")))
 
 
 def accepted(findings: Column) -> Column:
@@ -28,30 +43,58 @@ def accepted(findings: Column) -> Column:
     An island begins at the i-th finding by start if just the i findings before it
     end there or earlier.
     """
-    by_start = F.array_sort(F.transform(findings, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x.alias("f"))))
+    by_start = F.array_sort(placed(findings))
     known = F.struct(by_start.alias("all"), F.array_sort(F.transform(findings, lambda x: x["end"])).alias("ends"), F.sequence(F.lit(0), F.size(findings) - 1).alias("at"))
 
     def islands(z: Column) -> Column:
         first = F.filter(z["at"], lambda i: (i == 0) | (F.get(z["ends"], i - 1) <= F.get(z["all"], i)["start"]))
         return let(F.struct(z["all"].alias("all"), first.alias("first")), lambda y: F.transform(y["first"], lambda b, k: F.slice(y["all"], b + 1, F.coalesce(F.get(y["first"], k + 1), F.size(y["all"])) - b)))
 
-    def order(x: Column) -> Column:
-        f = x["f"]
-        return F.struct((-S.severity_rank(f["severity"])).alias("a"), (-f["confidence"]).alias("b"), (x["start"] - x["end"]).alias("c"), f["emission"].alias("d"), x["start"].alias("e"), x.alias("x"))
-
     def settled(island: Column) -> Column:
-        ranked = F.transform(F.array_sort(F.transform(island, order)), lambda x: x["x"])
+        in_turn = F.transform(F.array_sort(F.transform(island, ranked)), lambda x: x["x"])
         free = lambda acc, x: ~F.exists(acc, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))
-        kept = F.aggregate(ranked, F.slice(island, 1, 0), lambda acc, x: F.when(free(acc, x), F.array_append(acc, x)).otherwise(acc))
+        kept = F.aggregate(in_turn, F.slice(island, 1, 0), lambda acc, x: F.when(free(acc, x), F.array_append(acc, x)).otherwise(acc))
         return F.when(F.size(island) == 1, island).otherwise(F.array_sort(kept))
 
     out = F.transform(F.flatten(F.transform(let(known, islands), settled)), lambda x: x["f"])
     return F.when(F.size(findings) > 1, out).otherwise(findings)
 
 
+def free_of_overlap(starts: list[int], ends: list[int]) -> list[int]:
+    """Which of the intervals, in the order given, overlap none before them that does not either.
+
+    Those that are kept are apart, so the last of them that starts before an
+    interval's end is the only one that can overlap it.
+    """
+    begins: list[int] = []
+    stops: list[int] = []
+    out = []
+    for i, (a, b) in enumerate(zip(starts, ends, strict=True)):
+        k = bisect_left(begins, b)
+        if k == 0 or stops[k - 1] <= a:
+            begins.insert(k, a)
+            stops.insert(k, b)
+            out.append(i)
+    return out
+
+
+def _free(starts: pd.Series, ends: pd.Series) -> pd.Series:
+    return pd.Series([None if a is None else free_of_overlap(a.tolist(), b.tolist()) for a, b in zip(starts, ends, strict=True)], dtype=object)
+
+
+def settled_findings(rows: DataFrame) -> DataFrame:
+    """``rows`` with those of their findings that :func:`accepted` keeps, however many they are."""
+    inner = rows.withColumn("_ranked", F.when(F.size("findings") > MANY, F.transform(F.array_sort(F.transform(placed(F.col("findings")), ranked)), lambda x: x["x"])))
+    inner = settled_row(inner)
+    free = F.pandas_udf(_free, "array<int>")(F.transform("_ranked", lambda x: x["start"]), F.transform("_ranked", lambda x: x["end"]))
+    inner = settled_row(inner.withColumn("_free", free))
+    many = F.transform(F.array_sort(F.transform("_free", lambda i: F.get("_ranked", i))), lambda x: x["f"])
+    return inner.withColumn("findings", F.when(F.col("_free").isNull(), accepted(F.col("findings"))).otherwise(many)).drop("_ranked", "_free")
+
+
 def resolved(docs: DataFrame, off: frozenset[str] = frozenset()) -> DataFrame:
     """``docs`` (with a column text) and findings: those of each text that stand."""
-    return settled_row(settled_row(with_findings(docs, off)).withColumn("findings", accepted(F.col("findings"))))
+    return settled_row(settled_findings(settled_row(with_findings(docs, off))))
 
 
 def exploded(rows: DataFrame) -> DataFrame:
