@@ -256,7 +256,16 @@ def test_pipeline(spark):
 
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_duplicates", "repeated_passages", "mix_sources", "sentencepiece"]
     rows = corpus_pipeline.run(spark, DATA)
-    assert rows.columns == ["doc_id", "n_tokens", "ids", "exact", "order_file", "order_row"]
-    places = [(r["order_file"], r["order_row"]) for r in rows.select("order_file", "order_row").collect()]
-    assert len(places) == len(set(places))
-    assert rows.count() > 0 and rows.where("NOT exact").count() == 0
+    assert rows.columns == ["doc_id", "n_tokens", "ids", "exact", "position"]
+    found = sorted((r["position"], r["doc_id"], r["n_tokens"], r["exact"]) for r in rows.drop("ids").collect())
+    assert [r[0] for r in found] == list(range(len(found))) and found and all(r[3] for r in found)
+    assert sorted((r["position"], r["doc_id"], r["n_tokens"], r["exact"]) for r in corpus_pipeline.run(spark, DATA).drop("ids").collect()) == found
+
+
+def test_pipeline_stages_on_an_empty_table(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, DATA)
+        assert docs.count() == 0

@@ -121,7 +121,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     first = F.struct(F.col("position").alias("at"), F.least("taken", "size").alias("n"))
     second = F.struct(F.col("again_position").alias("at"), (F.col("taken") - F.col("size")).alias("n"))
     passes = out.withColumn("_pass", F.explode(F.array(first, second))).where("_pass.n > 0")
-    passes = passes.orderBy("_pass.at", "doc_id")
+    passes = passes.orderBy("_pass.at", "doc_id", F.xxhash64("_carry.text"))
     whole = F.col("_pass.n") >= F.col("size")
     # pieces end where a word ends, so that joining some of them gives a prefix
     pieces = F.split("_carry.text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
