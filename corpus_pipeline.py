@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textguard.llm import mixing, near_dedup, paragraph_dedup, pieces, quality_rules
@@ -30,15 +31,27 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(docs)
 
 
-def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The texts as ids, with their place in the training order: the mix is written in
-    that order, so a row's file and its place in it tell where it stands (rows that come
-    from no file are numbered as they come)."""
+def in_order(docs: DataFrame) -> DataFrame:
+    """doc_id, text and position, the row's number in the training order from 0 on.
+
+    The mix is written in that order, so a row's part file and its place in it tell where
+    it stands; the rows of the files before it are added up, one number a file. It does
+    not depend on the files' names or bounds. Rows that come from no file are numbered as
+    they come."""
     try:
-        rows = docs.select("doc_id", "text", F.col("_metadata.file_name").alias("order_file"), F.col("_metadata.row_index").alias("order_row"))
+        rows = docs.select("doc_id", "text", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
     except AnalysisException:
-        rows = docs.select("doc_id", "text", F.lit(None).cast("string").alias("order_file"), F.monotonically_increasing_id().alias("order_row"))
-    return pieces.encode_documents(rows, carry=("order_file", "order_row"))
+        return docs.select("doc_id", "text", F.monotonically_increasing_id().alias("position"))
+    files = rows.groupBy("_file").agg(F.count("*").alias("_n"))
+    # the names begin with the number of the part
+    before = F.sum("_n").over(W.orderBy("_file").rowsBetween(W.unboundedPreceding, -1))
+    files = files.select("_file", F.coalesce(before, F.lit(0)).alias("_before"))
+    return rows.join(files, "_file").select("doc_id", "text", (F.col("_before") + F.col("_row")).alias("position"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The texts as ids, with their position in the training order."""
+    return pieces.encode_documents(in_order(docs), carry=("position",))
 
 
 STAGES = [
