@@ -21,7 +21,7 @@ def test_oracle(spark, con, name):
 
 
 def test_every_other_query_has_sql():
-    assert set(QUERIES) - set(ORACLES) == {"rate_limit", "safe_replace", "payload_ids", "semantic_narrow", "word_pieces"}
+    assert set(QUERIES) - set(ORACLES) == {"rate_limit", "safe_replace", "payload_ids", "semantic_narrow", "semantic_scan", "word_pieces"}
 
 
 def test_rate_limit_against_a_loop(spark):

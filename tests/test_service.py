@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from tests.oracle import DATA
 from textguard.operators import records, resolve, semantic
-from textguard.plans.service import QUERIES, VOCABULARY
+from textguard.plans.service import QUERIES
 from textguard.sources import files
 
 W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
@@ -64,59 +64,49 @@ def test_payload_ids_against_json(spark):
     assert len(ids) == len(set(ids)) and all(re.fullmatch("[0-9a-f]{64}", x) for x in ids)
 
 
-def narrow(text, start, end, category):
-    """The rule again, step by step."""
-    a, b = max(0, start), min(len(text), end)
-    if b <= a:
-        return start, end
-    segments = [m for m in re.finditer(r"[\s\S]+?(?:[!?;]+|\.(?=\s|$)|\r?\n|$)", text[a:b])]
-    words = {x[1]: x[4] for x in semantic.LABELS}.get(category)
-    if len(segments) > 1:
-        scores = [len(re.findall(rf"\b(?:{words})\b", m[0], re.I | re.A)) if words else 0 for m in segments]
-        if max(scores) == 0:
-            return a, b
-        chosen = segments[scores.index(max(scores))]
-    else:
-        chosen = segments[0]
-    body = chosen[0].lstrip(" \t\n\r\f\v")
-    begin = a + chosen.start() + len(chosen[0]) - len(body)
-    body = re.sub(r"[\s.!?;]+$", "", body)
-    if not body:
-        return a, b
-    amount = r"(?:%|percent|million|billion|thousand|[KMB])"
-    month = "Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|Jun(?:e)?|Jul(?:y)?|Aug(?:ust)?|Sep(?:tember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?"
-    tries = {
-        "Customer-specific information": [(r"\b(?:[Cc]ustomer|[Cc]lient|[Aa]ccount|[Tt]enant)\s+(?:named\s+)?([A-Z][\w&.-]*(?:\s+[A-Z][\w&.-]*){0,2})", 0)],
-        "Employee-sensitive information": [(r"\b(?:[Ee]mployee|[Ss]taff member|[Cc]andidate)\s+(?:named\s+)?([A-Z][\w'.-]*(?:\s+[A-Z][\w'.-]*){0,2})", 0)],
-        "Non-public financial information": [(rf"([$€£]\s*\d[\d,]*(?:\.\d+)?\s*{amount}?)", re.I), (rf"(?:^|[^\w])((?:\d[\d,]*(?:\.\d+)?)\s*{amount})(?=$|[^\w])", re.I)],
-        "Unreleased product information": [(r"\b(?:[Pp]roject|[Pp]roduct|[Ff]eature|[Cc]odename)\s+([A-Z][\w.-]*(?:\s+[A-Z][\w.-]*){0,2})", 0)],
-    }.get(category, [(rf"\b((?:20\d{{2}}|19\d{{2}})[-/]\d{{1,2}}[-/]\d{{1,2}}|(?:{month})\s+\d{{1,2}}(?:,\s*(?:19|20)\d{{2}})?)\b", re.I)])
-    for pattern, flags in tries:
-        if m := re.search(pattern, body, flags | re.A):
-            at = m.start() + m[0].rindex(m[1])
-            return begin + at, begin + at + len(m[1])
-    return begin, begin + len(body)
-
-
+#: text, category, start and end given, what stays of it (null: the finding as given)
 PASSAGES = [
-    ("We met. The customer named Blue Harbor Ltd signed the renewal! Fine.", "Customer-specific information"), ("Our revenue forecast is $4.5 million; keep quiet.", "Non-public financial information"),
-    ("A budget of 3,000 K applies", "Non-public financial information"), ("Project Falcon launch: feature Night Mode soon.\nOther line", "Unreleased product information"),
-    ("The settlement of March 3, 2024 stands", "Legal-sensitive information"), ("Nothing here. Nothing there.", "Legal-sensitive information"), ("   \n ", "Legal-sensitive information"),
-    ("employee Ann O'Neil on leave; salary talk", "Employee-sensitive information"), ("one segment only...", "Unknown"), ("two segments. Here.", "Unknown"), ("on 2024-05-06 we deal", "Business-sensitive information"), ("", "Unknown"),
+    ("We met. The customer named Blue Harbor Ltd signed the renewal! Fine.", "Customer-specific information", 0, 68, "Blue Harbor Ltd"),
+    ("Our revenue forecast is $4.5 million; keep quiet.", "Non-public financial information", 0, 49, "$4.5 million"),
+    ("A budget of 3,000 K applies", "Non-public financial information", 0, 27, "3,000 K"),
+    ("Project Falcon launch: feature Night Mode soon.\nOther line", "Unreleased product information", 0, 58, "Falcon"),
+    ("The settlement of March 3, 2024 stands", "Legal-sensitive information", 0, 38, "March 3, 2024"),
+    ("on 2024-05-06 we deal", "Business-sensitive information", 0, 21, "2024-05-06"),
+    ("employee Ann O'Neil on leave; salary talk", "Employee-sensitive information", 0, 41, "Ann O'Neil"),
+    ("Sunny day. the plan of the board is set. Bye.", "Business-sensitive information", 0, 45, "the plan of the board is set"),
+    ("one segment only...", "Unknown", 0, 19, "one segment only"),
+    ("Nothing here. Nothing there.", "Legal-sensitive information", 0, 28, None),
+    ("Nothing here. Nothing there.", "Legal-sensitive information", -4, 90, None),
+    ("two segments. Here.", "Unknown", 0, 40, None),
+    ("   \n ", "Legal-sensitive information", -1, 5, None),
+    ("", "Unknown", 0, 5, None),
+    ("short", "Unknown", 9, 12, None),
+    ("xx the terms, 1999-1-2, hold", "Legal-sensitive information", 3, 400, "1999-1-2"),
 ]
 
 
-def test_narrowing_against_a_loop(spark):
-    rows = [(i, t, s, e, c) for i, (t, c) in enumerate(PASSAGES) for s, e in ((0, len(t)), (-5, 10**6), (3, len(t) - 2))]
-    df = spark.createDataFrame(rows, "id int, text string, s int, e int, c string")
+def test_narrowing(spark):
+    df = spark.createDataFrame(PASSAGES, "text string, c string, s int, e int, kept string")
     for r in df.select("*", semantic.narrowed(F.col("text"), F.col("s"), F.col("e"), F.col("c")).alias("n")).collect():
-        assert tuple(r["n"]) == narrow(r["text"], r["s"], r["e"], r["c"]), r
-    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()}
-    for r in QUERIES["semantic_narrow"](spark, DATA).collect():
-        assert (r["narrow_start"], r["narrow_end"]) == narrow(texts[r["doc_id"]], r["start"], r["end"], r["category"]), r
+        if r["kept"] is None:
+            assert tuple(r["n"]) == (r["s"], r["e"]), r
+        else:
+            assert r["text"][r["n"]["start"] : r["n"]["end"]] == r["kept"], r
+
+
+def test_narrowed_findings_stand_in_their_passage(spark):
+    """Of whole texts: inside the finding, without white space or end marks at the ends; the same again."""
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    rows = QUERIES["semantic_narrow"](spark, DATA).collect()
+    changed = [r for r in rows if (r["start"], r["end"]) != (r["narrow_start"], r["narrow_end"])]
+    assert changed and max(r["end"] for r in rows) > 5_000
+    for r in changed:
+        value = texts[r["doc_id"]][r["narrow_start"] : r["narrow_end"]]
+        assert r["start"] <= r["narrow_start"] < r["narrow_end"] <= r["end"] and value == value.lstrip().rstrip(" \t\r\n.!?;")
 
 
 def test_word_pieces(spark):
+    VOCABULARY = {p: i for i, p in enumerate(["[UNK]", *"abcdefghijklmnopqrstuvwxyz.,", *(f"##{c}" for c in "abcdefghijklmnopqrstuvwxyz"), "the", "er", "##er", "an"])}
     df = spark.createDataFrame([("The Ünique er, 日本 x" + "y" * 101,), (None,), ("a\x00b é",)], "text string")
     rows = semantic.word_pieces(df, VOCABULARY).collect()
     names = {i: p for p, i in VOCABULARY.items()}

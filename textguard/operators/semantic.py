@@ -8,7 +8,9 @@ from __future__ import annotations
 import unicodedata
 import warnings
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
@@ -75,34 +77,36 @@ def smallest_value(value: Column, category: Column) -> Column:
 def narrowed(text: Column, start: Column, end: Column, category: Column) -> Column:
     """struct<start, end>: the part of a passage that a semantic finding is about. The
     segment with the most words of its context, without white space and end marks, or its
-    smallest value; the passage as it is where no segment stands out."""
-    same = lambda z: F.struct(z["a"].alias("start"), z["b"].alias("end"))
+    smallest value; the finding as it is given where no segment stands out, even if it
+    reaches beyond the text."""
+    same = lambda z: F.struct(z["start"].alias("start"), z["end"].alias("end"))
+    given = lambda z: (z["start"].alias("start"), z["end"].alias("end"))
     passage = F.struct(
         start.alias("start"), end.alias("end"), F.greatest(start, F.lit(0)).alias("a"), F.least(end, F.length(text)).alias("b"), category.alias("c"),
     )
 
     def of_segments(z: Column) -> Column:
         segments = F.regexp_extract_all(z["text"], F.lit(SEGMENT), F.lit(0))
-        known = F.struct(z["a"].alias("a"), z["b"].alias("b"), z["c"].alias("c"), segments.alias("s"), running(F.transform(segments, F.length)).alias("at"))
+        known = F.struct(*given(z), z["a"].alias("a"), z["c"].alias("c"), segments.alias("s"), running(F.transform(segments, F.length)).alias("at"))
         return let(known, chosen)
 
     def chosen(z: Column) -> Column:
         ranked = F.array_sort(F.transform(z["s"], lambda x, i: F.struct((-context_score(x, z["c"])).alias("score"), i.alias("i"))))
         best = F.when(F.size(z["s"]) == 1, 0).when(F.get(ranked, F.lit(0))["score"] < 0, F.get(ranked, F.lit(0))["i"])
-        found = F.struct(z["a"].alias("a"), z["b"].alias("b"), z["c"].alias("c"), F.get(z["s"], best).alias("raw"), F.get(z["at"], best).alias("at"))
+        found = F.struct(*given(z), z["a"].alias("a"), z["c"].alias("c"), F.get(z["s"], best).alias("raw"), F.get(z["at"], best).alias("at"))
         return let(found, cut)
 
     def cut(z: Column) -> Column:
         lead = F.length(z["raw"]) - F.length(F.regexp_replace(z["raw"], r"^\s+", ""))
         content = F.regexp_replace(F.regexp_replace(z["raw"], r"^\s+", ""), r"[\s.!?;]+\z", "")
         begin = z["a"] + z["at"] + lead
-        known = F.struct(z["a"].alias("a"), z["b"].alias("b"), begin.alias("begin"), content.alias("content"), smallest_value(content, z["c"]).alias("v"))
+        known = F.struct(*given(z), begin.alias("begin"), content.alias("content"), smallest_value(content, z["c"]).alias("v"))
         return let(known, lambda y: F.when(y["content"].isNull() | (y["content"] == ""), same(y)).otherwise(
             F.struct((y["begin"] + F.coalesce(y["v"]["at"], F.lit(0))).alias("start"), (y["begin"] + F.coalesce(y["v"]["at"], F.lit(0)) + F.coalesce(y["v"]["n"], F.length(y["content"]))).alias("end"))))
 
     def whole(z: Column) -> Column:
-        inner = F.struct(z["a"].alias("a"), z["b"].alias("b"), z["c"].alias("c"), F.substring(text, z["a"] + 1, z["b"] - z["a"]).alias("text"))
-        return F.when(z["b"] <= z["a"], F.struct(z["start"].alias("start"), z["end"].alias("end"))).otherwise(let(inner, of_segments))
+        inner = F.struct(*given(z), z["a"].alias("a"), z["c"].alias("c"), F.substring(text, z["a"] + 1, z["b"] - z["a"]).alias("text"))
+        return F.when(z["b"] <= z["a"], same(z)).otherwise(let(inner, of_segments))
 
     return let(passage, whole)
 
@@ -154,32 +158,216 @@ _IDEOGRAPHS = r"\u3400-\u4dbf\u4e00-\u9fff\U00020000-\U0002a6df\U0002a700-\U0002
 _SEGMENT = regex.compile(rf"[{_IDEOGRAPHS}]|[[\p{{L}}\p{{N}}]--[{_IDEOGRAPHS}]]+|[^\s\p{{L}}\p{{N}}\p{{Cc}}\p{{Cf}}]", regex.V1)
 
 
+class WordPieces:
+    """The longest pieces of a vocabulary from left to right in each word, by tries of the
+    pieces that begin a word and of those that go on. A word is cut once however often it
+    occurs; what is remembered has a bound."""
+
+    MOST = 100_000
+
+    def __init__(self, vocabulary: dict[str, int], unknown: str = "[UNK]", prefix: str = "##", longest: int = 100) -> None:
+        self.unknown, self.longest, self.known = vocabulary[unknown], longest, {}
+        self.first: dict = {}
+        self.later: dict = {}
+        for piece, number in vocabulary.items():
+            self._add(self.first, piece, number)
+            if piece.startswith(prefix):
+                self._add(self.later, piece[len(prefix) :], number)
+
+    @staticmethod
+    def _add(node: dict, piece: str, number: int) -> None:
+        for c in piece:
+            node = node.setdefault(c, {})
+        node[""] = number
+
+    def cut(self, word: str) -> list[int]:
+        plain = "".join(c for c in unicodedata.normalize("NFD", word.lower()) if not unicodedata.category(c).startswith("M"))
+        if len(plain) > self.longest:
+            return [self.unknown]
+        out, at = [], 0
+        while at < len(plain):
+            node, best, k = self.later if at else self.first, None, at
+            while k < len(plain) and (node := node.get(plain[k])) is not None:
+                k += 1
+                if "" in node:
+                    best = (node[""], k)
+            if best is None:
+                return [self.unknown]
+            out.append(best[0])
+            at = best[1]
+        return out
+
+    def __call__(self, text: str | None) -> tuple[list[int], list[int], list[int]]:
+        """(ids, starts, ends) of a text; offsets are the words'."""
+        ids: list[int] = []
+        starts: list[int] = []
+        ends: list[int] = []
+        for m in _SEGMENT.finditer(text or ""):
+            word = m[0]
+            found = self.known.get(word)
+            if found is None:
+                if len(self.known) >= self.MOST:
+                    self.known.clear()
+                found = self.known[word] = self.cut(word)
+            ids += found
+            starts += [m.start()] * len(found)
+            ends += [m.end()] * len(found)
+        return ids, starts, ends
+
+
+def _fields(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+
 def word_pieces(texts: DataFrame, vocabulary: dict[str, int], unknown: str = "[UNK]", prefix: str = "##", longest: int = 100) -> DataFrame:
     """``texts`` (with a column text) and ids, starts, ends: the longest pieces of the
     vocabulary from left to right in each word, lower-cased and without accents. A word
     that pieces can't make, or of over ``longest`` characters, is unknown. Offsets are the
     word's, in code points. The vocabulary is a model's constant."""
-    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema) + ", ids array<int>, starts array<int>, ends array<int>"
-
-    def pieces(word: str) -> list[int]:
-        plain = "".join(c for c in unicodedata.normalize("NFD", word.lower()) if not unicodedata.category(c).startswith("M"))
-        out, at = [], 0
-        while at < len(plain) <= longest:
-            n = next((n for n in range(len(plain), at, -1) if (prefix if at else "") + plain[at:n] in vocabulary), None)
-            if n is None:
-                return [vocabulary[unknown]]
-            out.append(vocabulary[(prefix if at else "") + plain[at:n]])
-            at = n
-        return out if len(plain) <= longest else [vocabulary[unknown]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = WordPieces(vocabulary, unknown, prefix, longest)
         for batch in batches:
-            columns: tuple[list, list, list] = ([], [], [])
-            for text in batch.column("text").to_pylist():
-                found = [(i, m.start(), m.end()) for m in _SEGMENT.finditer(text or "") for i in pieces(m[0])]
-                for column, values in zip(columns, zip(*found, strict=True) if found else ((), (), ()), strict=True):
-                    column.append(list(values))
-            made = [pa.array(x, pa.list_(pa.int32())) for x in columns]
+            columns = zip(*map(pieces, batch.column("text").to_pylist()), strict=True) if batch.num_rows else ([], [], [])
+            made = [pa.array(list(x), pa.list_(pa.int32())) for x in columns]
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, "ids", "starts", "ends"])
 
-    return texts.mapInArrow(run, kind)
+    return texts.mapInArrow(run, _fields(texts) + ", ids array<int>, starts array<int>, ends array<int>")
+
+
+@dataclass(frozen=True)
+class Head:
+    """A linear layer with a sigmoid over unit vectors: a row of coefficients, an intercept
+    and a threshold for each label, in the order of SEMANTIC_LABELS."""
+
+    coefficients: list[list[float]]
+    intercepts: list[float]
+    thresholds: list[float]
+
+    def __post_init__(self) -> None:
+        checked_head(list(SEMANTIC_LABELS), self.coefficients, self.intercepts, self.thresholds, len(self.coefficients[0]) if self.coefficients else 0)
+
+
+#: What a model's loader gives: hidden states (texts, tokens, width) of ids and their mask.
+Encode = Callable[[np.ndarray, np.ndarray], np.ndarray]
+_LOADED: dict[str, Encode] = {}
+
+
+def loaded(name: str, load: Callable[[], Encode]) -> Encode:
+    """The encoder of that name, loaded once in the life of a worker."""
+    if name not in _LOADED:
+        _LOADED[name] = load()
+    return _LOADED[name]
+
+
+def pooled(hidden: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """The mean over the tokens that the mask keeps, as a vector of length 1 (or 0)."""
+    shown = np.where(mask[:, :, None] > 0, hidden, 0.0).astype(np.float64)
+    mean = shown.sum(axis=1) / np.maximum(mask.sum(axis=1), 1)[:, None]
+    norm = np.sqrt((mean * mean).sum(axis=1, keepdims=True))
+    return mean / np.where(norm > 0, norm, 1.0)
+
+
+def windows(n: int, size: int, overlap: int) -> list[tuple[int, int]]:
+    """The windows over ``n`` tokens of which each holds ``size`` and shares ``overlap`` with the next."""
+    step = size - max(0, min(overlap, size - 1))
+    out, at = [], 0
+    while at < n:
+        out.append((at, min(n, at + size)))
+        if out[-1][1] == n:
+            break
+        at += step
+    return out
+
+
+def text_vectors(tokens: tuple[list[int], list[int], list[int]], encode: Encode, ends: tuple[int, int], tokens_most: int, overlap: int, batch: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """The vectors of a text's windows and where they stand in it."""
+    ids, starts, stops = tokens
+    spans = windows(len(ids), tokens_most - 2, overlap)
+    chunks = [[ends[0], *ids[a:b], ends[1]] for a, b in spans]
+    out = []
+    for k in range(0, len(chunks), batch):
+        some = chunks[k : k + batch]
+        length = max(map(len, some))
+        padded, mask = np.zeros((len(some), length), np.int64), np.zeros((len(some), length), np.int64)
+        for row, chunk in enumerate(some):
+            padded[row, : len(chunk)], mask[row, : len(chunk)] = chunk, 1
+        hidden = np.asarray(encode(padded, mask))
+        if hidden.ndim != 3 or hidden.shape[:2] != padded.shape:
+            raise ValueError("the encoder's output has unexpected dimensions")
+        out.append(pooled(hidden, mask))
+    return np.concatenate(out), [(starts[a], stops[b - 1]) for a, b in spans]
+
+
+def predicted(
+    texts: DataFrame, vocabulary: dict[str, int], name: str, load: Callable[[], Encode], head: Head, tokens_most: int = 128, overlap: int = 24, batch: int = 4,
+) -> DataFrame:
+    """``texts`` (with a column text) and predictions (label, start, end, confidence: what
+    reaches its label's threshold in any window, merged by label where windows overlap or
+    touch) and semantic_error, the kind of failure of a text's inference, null without one.
+
+    ``load`` gives the encoder and is called once in a worker. A text that is blank is not
+    shown to it. A failure while loading or in a text is that text's alone: its predictions
+    are empty, the others and the job go on.
+    """
+    fields = "array<struct<label:string,start:int,end:int,confidence:double>>"
+    kind = pa.list_(pa.struct([("label", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("confidence", pa.float64())]))
+    weights, intercepts, thresholds = np.array(head.coefficients), np.array(head.intercepts), np.array(head.thresholds)
+
+    def of_text(text: str, pieces: WordPieces) -> list[dict]:
+        tokens = pieces(text)
+        if not tokens[0]:
+            return []
+        vectors, spans = text_vectors(tokens, loaded(name, load), (vocabulary["[CLS]"], vocabulary["[SEP]"]), tokens_most, overlap, batch)
+        score = 1 / (1 + np.exp(-(vectors @ weights.T + intercepts)))
+        out: list[dict] = []
+        for k, label in enumerate(SEMANTIC_LABELS):
+            before = None
+            for w in np.flatnonzero(score[:, k] >= thresholds[k]):  # by start
+                start, end = spans[w]
+                if before and start <= before["end"]:
+                    before.update(end=max(before["end"], end), confidence=max(before["confidence"], float(score[w, k])))
+                else:
+                    before = {"label": label, "start": start, "end": end, "confidence": float(score[w, k])}
+                    out.append(before)
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = WordPieces(vocabulary)
+        for part in batches:
+            found, errors = [], []
+            for text in part.column("text").to_pylist():
+                try:
+                    found.append(of_text(text, pieces) if text and text.strip() else [])
+                    errors.append(None)
+                except Exception as e:  # whatever a plugged-in model raises
+                    found.append([])
+                    errors.append(type(e).__name__)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, kind), pa.array(errors, pa.string())], names=[*part.schema.names, "predictions", "semantic_error"])
+
+    return texts.mapInArrow(run, f"{_fields(texts)}, predictions {fields}, semantic_error string")
+
+
+def kept_findings(rows: DataFrame, keep: Callable[[list[dict]], list[dict]]) -> DataFrame:
+    """``rows`` (with a column findings) and filter_error: their findings as a given filter
+    leaves them. Where the filter fails, a text keeps all of its findings: a store that can't
+    be reached never hides one."""
+    kind = _fields(rows) + ", filter_error string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            at = part.schema.get_field_index("findings")
+            found, errors = [], []
+            for findings in part.column(at).to_pylist():
+                error = None
+                if findings:
+                    try:
+                        findings = keep(findings)
+                    except Exception as e:  # whatever the filter raises
+                        error = type(e).__name__
+                found.append(findings)
+                errors.append(error)
+            columns = [pa.array(found, part.schema.field(at).type) if i == at else c for i, c in enumerate(part.columns)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(errors, pa.string())], names=[*part.schema.names, "filter_error"])
+
+    return rows.mapInArrow(run, kind)

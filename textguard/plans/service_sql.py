@@ -64,7 +64,7 @@ assert len(CODES) == len(ERRORS)
 _LETTERS = "translate(substr(sha256(c_custkey::VARCHAR), 1, 32), '0123456789abcdef', 'abcdefghijklmnop')"
 
 _PREDICTED = f"""SELECT doc_id, label, least(i * 150, n)::INTEGER AS start, least(i * 150 + 100 + doc_id % 90, n)::INTEGER AS "end", confidence FROM (
-    SELECT doc_id, n, i, {_of(semantic.SEMANTIC_LABELS, 'doc_id + i // 3')} AS label, (i * 7 % 50) / 100.0::DOUBLE + 0.5 AS confidence FROM (SELECT doc_id, length(text) AS n, unnest(range(0, least(length(text) // 200, 6) + 1)) AS i FROM documents) AS p0) AS p1
+    SELECT doc_id, n, i, {_of(semantic.SEMANTIC_LABELS, 'doc_id + i // 3')} AS label, (i * 7 % 50) / 100.0::DOUBLE + 0.5 AS confidence FROM (SELECT doc_id, length(text) AS n, unnest(range(0, length(text) // 200 + 1)) AS i FROM documents) AS p0) AS p1
   WHERE least(i * 150, n) < least(i * 150 + 100 + doc_id % 90, n)"""
 _MERGED = f"""SELECT doc_id, label, min(start) AS start, max("end") AS "end", max(confidence) AS confidence FROM (SELECT *, sum(f) OVER (PARTITION BY doc_id, label ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS g FROM (
     SELECT *, CASE WHEN start <= max("end") OVER (PARTITION BY doc_id, label ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS f FROM ({_PREDICTED}) AS m0) AS m1) AS m2 GROUP BY doc_id, label, g"""
