@@ -1,0 +1,31 @@
+"""The scanner called from SQL text."""
+
+from pyspark.sql import functions as F
+
+from textguard.functions import sql
+from textguard.operators import detect
+
+
+def test_lateral_calls_scan_each_row(spark):
+    docs = spark.createDataFrame([(1, "mail jo@firm.io"), (2, None), (3, '{"password": "hunter2hunter2"}'), (4, "plain")], "doc_id long, text string")
+    docs.createOrReplaceTempView("bodies")
+    sql.register(spark)
+    found = spark.sql("SELECT b.doc_id, f.* FROM bodies AS b, LATERAL scan_text(b.text) AS f")
+    expected = detect.scan(docs)
+    assert found.columns == expected.columns and sorted(found.collect()) == sorted(expected.collect()) and {r["doc_id"] for r in found.collect()} == {1, 3}
+    outer = spark.sql("SELECT b.doc_id, f.detector FROM bodies AS b LEFT JOIN LATERAL scan_text(b.text) AS f")
+    assert {r["doc_id"] for r in outer.where("detector IS NULL").collect()} == {2, 4}
+    assert spark.sql("SELECT count(*) AS n FROM scan_text('API_KEY=live_abcdefgh123456')").first()["n"] == 1
+
+
+def test_switches_of_the_function(spark):
+    sql.register(spark, frozenset({"emails"}))
+    assert spark.sql("SELECT * FROM scan_text('mail jo@firm.io')").count() == 0
+    sql.register(spark)
+    assert spark.sql("SELECT * FROM scan_text('mail jo@firm.io')").count() == 1
+
+
+def test_literals_keep_their_text(spark):
+    column = F.concat(F.lit("a=(b) in(c) 1.5 it's \\d\n"), F.when(F.col("x") > 0.5, "é").otherwise((F.col("x") - 1.25).cast("string")))
+    df = spark.createDataFrame([(0.25,), (2.0,)], "x double")
+    assert df.select(column.alias("y")).collect() == df.selectExpr(f"{sql.column_sql(column)} AS y").collect()

@@ -216,6 +216,7 @@ EXPLODED = f"SELECT doc_id, u.s AS start, u.e AS \"end\", u.i AS emission, u.det
 
 ORACLES |= {
     "scan_all": ALL,
+    "scan_sql": ALL,
     "scan_toggled": " UNION ALL ".join(f"({ORACLES[k]})" for k in ("detect_pem", "detect_pem_malformed", "detect_db_url", "detect_db_url_malformed", "detect_phone", "detect_internal_host")),
     "resolve_overlaps": f'SELECT doc_id, detector, category, severity, confidence, start, "end", original_value FROM ({EXPLODED}) AS z',
     "history_summary": f"""SELECT doc_id, CASE max({_RANK}) WHEN 4 THEN 'critical' WHEN 3 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS severity,

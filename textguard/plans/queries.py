@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textguard.functions import scalars as S
+from textguard.functions import sql
 from textguard.operators import detect, resolve, state
 from textguard.plans.prompts import inputs
 from textguard.sources import files
@@ -40,6 +41,11 @@ def scan_toggled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.scan(inputs(spark, sf_dir), frozenset({"credentials", "emails"}))
 
 
+def scan_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The findings of all texts in plain SQL."""
+    return sql.register(spark).sql("SELECT d.doc_id, f.* FROM {docs} AS d, LATERAL scan_text(d.text) AS f", docs=inputs(spark, sf_dir))
+
+
 def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.resolved(inputs(spark, sf_dir))
 
@@ -228,7 +234,7 @@ QUERIES["detect_json_secret"] = lambda spark, sf_dir: detect.detect_json_secret(
 QUERIES |= {
     f.__name__: f
     for f in (
-        scan_all, scan_toggled, resolve_overlaps, history_summary, redact, safe_placeholder, safe_replace, allowlist_anti, email_candidates,
+        scan_all, scan_sql, scan_toggled, resolve_overlaps, history_summary, redact, safe_placeholder, safe_replace, allowlist_anti, email_candidates,
         scalar_features, classify_key, placeholder_filter, char_freq, bounded_preview, basic_segments, token_chunks, linear_head,
         merge_predictions, overlap_flag, debounce_sessions, dedupe_consecutive, current_scans, session_stats, history_retention, history_tail,
         latest_health, rate_limit, feedback_dedupe, payload_validate, site_lookup, file_format, selection_limit,
