@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textguard.functions import scalars as S
+from textguard.functions.urls import normal_path
 from textguard.functions.scalars import B, let, running, settled_row
 from textguard.operators import structured as T
 
@@ -168,7 +169,7 @@ def _db_form(text: str, damaged: bool = False) -> Made:
     """Fills {scheme}, {port}, {path}, {safe} and {masked} of a form."""
 
     def make(value: Column, key: Column) -> Column:
-        path, bare = lambda: T.db_part(value, 6), lambda: value.endswith("@")
+        path, bare = lambda: normal_path(T.db_part(value, 6)), lambda: value.endswith("@")
         parts = {
             "scheme": lambda: _scheme(value), "port": lambda: F.lit("") if damaged else T.db_port(value), "path": path,
             "safe": lambda: F.when(_scheme(value).startswith("redis"), "/0").otherwise("/sample_db"),

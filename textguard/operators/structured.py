@@ -74,9 +74,19 @@ def is_json_object(part: Column) -> Column:
     """Whether a base64url part of a token holds a JSON object."""
     padded = F.rpad(F.translate(part, "-_", "+/"), (F.ceil(F.length(part) / 4) * 4).cast("int"), "=")
     decoded = F.decode(F.try_to_binary(padded, F.lit("base64")), "ISO-8859-1")
-    # the parser takes the first value of a text, so the ends are looked at too
-    whole = decoded.rlike(r"^\s*\{[\s\S]*\}\s*\z") & F.schema_of_variant(F.try_parse_json(decoded)).startswith("OBJECT")
-    return F.coalesce(whole, F.lit(False))
+    return is_whole_object(decoded)
+
+
+def is_whole_object(text: Column) -> Column:
+    """Whether a text is one JSON object and nothing else; false for null.
+
+    The parser takes the first value of a text and leaves the rest. Between brackets and as
+    a member's value, a rest would have to close both before it comes, which it can't.
+    """
+    alone = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    member = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    kind = F.schema_of_variant(F.try_variant_get(member, "$.v", "variant"))
+    return F.coalesce(alone.isNotNull() & kind.startswith("OBJECT"), F.lit(False))
 
 
 def jwt_parts(value: Column) -> Column:

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textguard.functions import scalars as S
-from textguard.operators import records, resolve, semantic, state
+from textguard.functions import urls
+from textguard.operators import records, resolve, semantic, state, structured
 from textguard.plans.prompts import inputs
 from textguard.sources import files
 
@@ -185,7 +186,7 @@ def origin_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def top_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = resolve.resolved(inputs(spark, sf_dir)).withColumn("findings", F.slice("findings", 1, 3))
+    rows = resolve.resolved(inputs(spark, sf_dir)).withColumn("findings", F.slice("findings", 1, 100))
     return resolve.exploded(rows).select("doc_id", "start", "end", "detector")
 
 
@@ -320,10 +321,32 @@ def history_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.retained(rows, last or 0, 90)
 
 
+#: Ends of paths that a normal form changes.
+PATH_ENDS = ("/./a/../b", "/../../x", "/a/b/..", "/%2e/%2E%2e/c", "/one two", "/caf\u00e9/\u65e5?", "", "/", "//x/.", "/.hidden/..a", "/{k}/`t`^", "/a/.")
+
+
+def url_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The normal form of each page's path, with an end that has dots, spaces or letters beyond ASCII."""
+    path = F.concat(F.regexp_extract("url", r"://[^/?#]*([^?#]*)", 1), _of(PATH_ENDS, F.col("page_id")))
+    return _read(spark, sf_dir, "pages").select("page_id", urls.normal_path(path).alias("path"))
+
+
+#: What stands before and after the JSON text of an event.
+AROUND = (("", ""), (" ", "\n"), ("", " x"), ("", "{}"), ("[", "]"), ("", "]"), ("", "}"), ("'", "'"), ("", ","), ('"', '"'), ("\t", ""), ("null ", ""))
+
+
+def json_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each event's properties, with something around some of them, are one JSON object."""
+    k = F.col("event_id")
+    before, after = (_of(tuple(x[i] for x in AROUND), k) for i in (0, 1))
+    text = F.concat(before, F.when(k % 7 == 5, F.translate("props", '"', "'")).otherwise(F.col("props")), after)
+    return _read(spark, sf_dir, "events").select("event_id", structured.is_whole_object(text).alias("is_object"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         file_scan, file_warnings, file_copies, history_record, history_validate, history_recent, allowlist_upsert, allowlist_migrate, feedback_record, contribution_payload, payload_rules, payload_ids,
-        settings_normalize, error_codes, origin_filter, top_findings, session_allowlist, allowlist_filter, overlap_all, site_exact, layout_join, paste_debounce, semantic_findings, semantic_merge, semantic_narrow, semantic_scan, word_pieces, sensitive_keys, stand_ins,
+        settings_normalize, error_codes, origin_filter, top_findings, session_allowlist, allowlist_filter, overlap_all, site_exact, layout_join, paste_debounce, semantic_findings, semantic_merge, semantic_narrow, semantic_scan, word_pieces, sensitive_keys, stand_ins, url_paths, json_objects,
     )
 }

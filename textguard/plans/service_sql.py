@@ -5,7 +5,7 @@ from __future__ import annotations
 from textguard.operators import records, semantic
 from textguard.plans.oracles import _KIND, _NORMALIZED, EXPLODED, _list, placeholder, q
 from textguard.plans.prompts import inputs_sql
-from textguard.plans.service import ERRORS, NAMES, SALT, SETTINGS_TEXTS, SITES
+from textguard.plans.service import AROUND, ERRORS, NAMES, PATH_ENDS, SALT, SETTINGS_TEXTS, SITES
 from textguard.sources.files import MESSAGES, TEXT_EXTENSIONS
 
 
@@ -72,7 +72,20 @@ _CATEGORY = "CASE label " + " ".join(f"WHEN {q(x[0])} THEN {q(x[1])}" for x in s
 _DOC_FINDINGS = f"SELECT * FROM ({EXPLODED}) AS e0 WHERE doc_id >= 0"
 _INPUT_MATCHES = "SELECT unnest(regexp_extract_all(text, {p}, 1)) AS {n} FROM ({i}) AS i0"
 
+_AROUND = [f"[{', '.join(q(x[i]) for x in AROUND)}][event_id % {len(AROUND)} + 1]" for i in (0, 1)]
+
 ORACLES = {
+    "json_objects": f"""SELECT event_id, CASE WHEN json_valid(t) THEN json_type(t) = 'OBJECT' ELSE false END AS is_object FROM (
+        SELECT event_id, {_AROUND[0]} || CASE WHEN event_id % 7 = 5 THEN replace(props, '"', '\'\'') ELSE props END || {_AROUND[1]} AS t FROM events) AS e0""",
+    "url_paths": rf"""WITH p AS (SELECT page_id, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) || {_of(PATH_ENDS, "page_id")} AS path FROM pages),
+        s AS (SELECT page_id, path, string_split(substr(path, 2), '/') AS seg FROM p),
+        x AS (SELECT page_id, path, list_prepend([]::VARCHAR[], list_transform(range(1, len(seg) + 1), lambda i: [seg[i], CASE WHEN i = len(seg) THEN 'last' ELSE '' END])) AS xs FROM s),
+        r AS (SELECT page_id, path, list_reduce(xs, lambda acc, y: CASE
+            WHEN regexp_full_match(y[1], '(?i)(\.|%2e)(\.|%2e)') THEN CASE WHEN y[2] = 'last' THEN list_append(acc[1:greatest(len(acc) - 1, 0)], '') ELSE acc[1:greatest(len(acc) - 1, 0)] END
+            WHEN regexp_full_match(y[1], '(?i)(\.|%2e)') THEN CASE WHEN y[2] = 'last' THEN list_append(acc, '') ELSE acc END
+            ELSE list_append(acc, y[1]) END) AS stack FROM x)
+      SELECT page_id, CASE WHEN path = '' THEN path ELSE '/' || list_aggregate(list_transform(string_split(array_to_string(stack, '/'), ''), lambda c:
+        CASE WHEN regexp_matches(c, '[^\x21\x24-;=\x40-\x5D\x5F\x61-z|~]') THEN regexp_replace(hex(encode(c)), '(..)', '%\1', 'g') ELSE c END), 'string_agg', '') END AS path FROM r""",
     "file_scan": f"SELECT doc_id, extension, format, CASE WHEN reason IS NULL THEN 'scanned' ELSE 'unscannable' END AS status, reason, {_MESSAGE} AS message, CASE WHEN reason IS NULL THEN length(text) END AS n_chars, CASE WHEN reason IS NULL THEN n END AS n_findings, CASE WHEN reason IS NULL THEN cats ELSE '' END AS categories FROM ({_FILE_ROWS}) AS r",
     "file_warnings": f"SELECT abs(doc_id) % 97 AS batch, count(*) AS n_files, sum(CASE WHEN reason IS NULL THEN n ELSE 1 END)::BIGINT AS warnings FROM ({_FILE_ROWS}) AS r GROUP BY 1",
     "file_copies": f"""{_REDACTED} SELECT f.doc_id, CASE WHEN r IS NULL THEN CASE WHEN f.extension = '.env' THEN f.name || '.sanitized.env' ELSE substr(f.name, 1, length(f.name) - length(f.extension)) || '.sanitized' || substr(f.name, length(f.name) - length(f.extension) + 1) END END AS copy_name,
@@ -91,7 +104,7 @@ ORACLES = {
     "settings_normalize": f"SELECT c_custkey, {', '.join(f'{sql} AS {name}' for name, sql in _FLAGS.items())}, {_DAYS} AS retention_days FROM (SELECT c_custkey, try_cast({_of(SETTINGS_TEXTS, 'c_custkey')} AS JSON) AS j FROM customer) AS s",
     "error_codes": f"SELECT o_orderkey, {_of(CODES, 'o_orderkey')} AS code FROM orders",
     "origin_filter": f"SELECT c_custkey, 'chrome-extension://' || {_LETTERS} AS origins FROM customer",
-    "top_findings": f"""SELECT doc_id, start, "end", detector FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start) AS n FROM ({EXPLODED}) AS e0) AS e1 WHERE n <= 3""",
+    "top_findings": f"""SELECT doc_id, start, "end", detector FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start) AS n FROM ({EXPLODED}) AS e0) AS e1 WHERE n <= 100""",
     "session_allowlist": f"SELECT doc_id, start, original_value FROM ({EXPLODED}) AS e0 WHERE original_value NOT IN (SELECT 'user' || c_custkey || '@corp' || (c_custkey % 7) || '.com' FROM customer)",
     "allowlist_filter": f"""SELECT doc_id, start, detector, original_value FROM ({EXPLODED}) AS e0 WHERE original_value NOT IN (SELECT 'node' || c_custkey || '.corp' FROM customer UNION ALL SELECT 'user' || c_custkey || '@corp' || (c_custkey % 7) || '.com' FROM customer)""",
     "overlap_all": """WITH e AS (SELECT event_id, user_id, event_type, (event_id * 7919 % 100000)::INTEGER AS start, (event_id * 7919 % 100000 + 20 + event_id % 30)::INTEGER AS "end" FROM events)
