@@ -1,15 +1,20 @@
 """The main text of web pages by text-to-tag ratios.
 
 The standard library's parser streams a page's events. Block elements end
-lines; each line has its text and the number of tags in it. The logarithms of
-the ratios of text to tags are smoothed by a Gaussian over neighbouring lines
-and clustered about a threshold (two means); lines of the upper cluster mark
-content regions. A region is the section that holds such a line, all of the
-article or main element around it, and all lines between two of its content
-lines; none of it is lost for being short. What the markup itself calls a menu,
-header, footer, sidebar, notice, advert, form or comment, by element, role or a
-whole name in class or id, is no content at any ratio; a name that only has
-such a word as a part makes a line outside articles weigh less.
+lines; each line has its text and the number of tags in it. Text of links counts
+as tags do: it has no weight. The logarithms of the ratios of text to tags are
+smoothed by a Gaussian over neighbouring lines and clustered about a threshold
+(two means); lines of the upper cluster mark content regions. A region is the
+section that holds such a line, all of the article or main element around it
+(alone, if articles hold most of what is found), and the lines between two of its
+content lines; none of it is lost for being short. Outside articles, lines that are mostly links, those before the section
+of the page's first heading, divisions of one line at the page's ends and a
+copyright line are no content.
+
+What the markup itself calls a menu, header, footer, sidebar, notice, advert,
+form or comment, by element, role or a whole name in class or id, is no content
+at any ratio. A division whose name begins or ends with such a word is none
+either, unless it holds most of the page's text.
 
 Pages are independent: no shuffle, one pass. Of a page, every event is handled
 in constant time, taken over all events, whatever is left unclosed.
@@ -55,28 +60,35 @@ REPLIES = frozenset(["comment", "reply"])
 HEADS = frozenset(["header"])
 HOLDING = frozenset("footer aside form dialog section article".split())
 CLOSES_ITSELF = frozenset("p li dt dd tr td th".split())
-#: How much text weighs in an element whose name has one of WORDS as a part.
-DOUBTFUL = 0.25
+#: What in an article keeps its text whatever it is called, but for adverts.
+PHRASES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th span a b i em strong q cite pre figcaption caption br".split())
+ADVERTS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion".split())
+#: What a name with one of WORDS at its head or tail counts for.
+DIVISIONS = frozenset("div section ul ol dl table center details fieldset".split())
+#: A line with this share of its letters in links is one of links.
+LINKED = 0.5
+_COPYRIGHT = re.compile(r"\s*(?:©|\(c\)\s|copyright\b)", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
 
-def standing(tag: str, attrs: dict[str, str | None], inside: bool) -> tuple[bool, float]:
-    """Whether an element stands beside the content, and how much its lines weigh.
+def standing(tag: str, attrs: dict[str, str | None], inside: bool) -> tuple[bool, bool]:
+    """Whether an element stands beside the content, and whether its name makes that likely.
     ``inside``: an article or main holds it."""
     if tag in NOT_TEXT or tag in APART or attrs.get("hidden", 0) != 0 or (attrs.get("aria-hidden") or "") == "true":
-        return True, 1.0
+        return True, False
     if tag in ("html", "body", "main"):
-        return False, 1.0
+        return False, False
     if (attrs.get("role") or "").lower() in ROLES:
-        return True, 1.0
+        return True, False
     names = set(f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower().split())
     if tag == "article":
-        return bool(names & REPLIES), 1.0
+        return bool(names & REPLIES), False
     # an article's own header holds its title
-    if names & WORDS or not inside and (tag in HEADS or names & HEADS):
-        return True, 1.0
-    doubtful = not inside and any(x in WORDS for name in names for x in _SPLIT.split(name))
-    return False, DOUBTFUL if doubtful else 1.0
+    if names & (ADVERTS if inside and tag in PHRASES else WORDS) or not inside and (tag in HEADS or names & HEADS):
+        return True, False
+    likely = WORDS if inside else WORDS | HEADS
+    parts = [_SPLIT.split(name.strip("-_")) for name in names] if tag in DIVISIONS else []
+    return False, any(x[0] in likely or x[-1] in likely for x in parts)
 
 
 class Element(NamedTuple):
@@ -87,12 +99,21 @@ class Element(NamedTuple):
     section: int
     out: bool
     article: int
-    weight: float
+    likely: int
     block: int
     frame: int
 
 
-NONE = Element("", 0, False, 0, 1.0, -1, -1)
+NONE = Element("", 0, False, 0, 0, -1, -1)
+
+
+class Line(NamedTuple):
+    text: str
+    tags: int
+    element: Element
+    #: characters in links, and whether it is a heading of the first order
+    linked: int
+    heading: bool
 
 
 class Lines(HTMLParser):
@@ -100,9 +121,9 @@ class Lines(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, Element]] = []
+        self.lines: list[Line] = []
         self.text: list[str] = []
-        self.tags = 0
+        self.tags = self.linked = 0
         self.open: list[Element] = []
         #: how often a tag is open, in all and within the section at a place in the stack
         self.count: Counter[tuple[str, int]] = Counter()
@@ -132,8 +153,10 @@ class Lines(HTMLParser):
     def end_line(self) -> None:
         text = " ".join("".join(self.text).split())
         if text or self.tags:
-            self.lines.append((text, self.tags, self.top()))
-        self.text, self.tags = [], 0
+            top = self.top()
+            heading = top.block >= 0 and self.open[top.block].tag == "h1"
+            self.lines.append(Line(text, self.tags, top, self.linked, heading))
+        self.text, self.tags, self.linked = [], 0, 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in BLOCK or tag in NOT_TEXT:
@@ -151,13 +174,13 @@ class Lines(HTMLParser):
             while self.open and self.top().out:
                 self.pop()
         above, at = self.top(), len(self.open)
-        out, weight = standing(tag, dict(attrs), bool(above.article))
+        out, likely = standing(tag, dict(attrs), bool(above.article))
         self.numbers += 1
         is_article = tag in ("article", "main")
         self.push(
             Element(
                 tag, self.numbers if tag in SECTION else above.section, out or above.out, above.article or (self.numbers if is_article else 0),
-                min(weight, above.weight), at if tag in BLOCK else above.block, at if tag in SECTION else above.frame,
+                above.likely or (self.numbers if likely else 0), at if tag in BLOCK else above.block, at if tag in SECTION else above.frame,
             )
         )
 
@@ -178,12 +201,14 @@ class Lines(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self.top().out:
             self.text.append(data)
+            if self.count["a", -2]:
+                self.linked += len("".join(data.split()))
 
     def parse_marked_section(self, i: int, report: int = 1) -> int:
         return self.parse_bogus_comment(i)
 
 
-def read_lines(html: str) -> list[tuple[str, int, Element]]:
+def read_lines(html: str) -> list[Line]:
     parser = Lines()
     parser.feed(html)
     parser.close()
@@ -212,24 +237,69 @@ def two_means(x: np.ndarray) -> float:
     return float(threshold)
 
 
+def beside(lines: list[Line]) -> set[int]:
+    """The elements whose names say that they stand beside the content, but for those that
+    hold most of the text."""
+    size: Counter[int] = Counter()
+    for x in lines:
+        if not x.element.out:
+            size[x.element.likely] += len(x.text)
+    return {k for k, n in size.items() if k and 2 * n <= sum(size.values())}
+
+
+def edges(lines: list[Line], keep: np.ndarray) -> np.ndarray:
+    """``keep`` without what stands at the ends of a page that has no article element: all before
+    the section of the first heading if more follows, divisions of one line, copyright lines."""
+    at = np.flatnonzero(keep)
+    heads = [i for i in at if lines[i].heading]
+    if heads:
+        begin = next(i for i in at if lines[i].element.section == lines[heads[0]].element.section)
+        before, after = (sum(len(lines[i].text) for i in part) for part in (at[at < begin], at[at >= begin]))
+        at = at[at >= begin] if before <= after else at
+    size: Counter[int] = Counter(lines[i].element.section for i in at)
+    text: Counter[int] = Counter()
+    for i in at:
+        text[lines[i].element.section] += len(lines[i].text)
+    total = sum(text.values())
+
+    def no_content(i: int) -> bool:
+        s = lines[i].element.section
+        lone = size[s] == 1 and len(size) > 1 and 4 * text[s] <= total and not lines[i].heading and lines[i].element.frame == lines[i].element.block
+        return lone or bool(_COPYRIGHT.match(lines[i].text)) and len(at) > 1
+
+    while len(at) > 1 and no_content(at[0]):
+        at = at[1:]
+    while len(at) > 1 and no_content(at[-1]):
+        at = at[:-1]
+    out = np.zeros(len(lines), bool)
+    out[at] = True
+    return out
+
+
 def main_text(html: str | None) -> str:
     lines = read_lines(html) if html else []
-    may = np.array([bool(t) and not e.out for t, _, e in lines], bool)
+    apart = beside(lines)
+    may = np.array([bool(x.text) and not x.element.out and x.element.likely not in apart for x in lines], bool)
     if not may.any():
         return ""
-    size = np.array([len(t) * e.weight for t, _, e in lines], float)
-    ratio = smoothed(np.log1p(size / np.maximum([n for _, n, _ in lines], 1)))
-    section, article = np.array([e.section for _, _, e in lines]), np.array([e.article for _, _, e in lines])
-    content = may & (ratio > two_means(ratio))
+    linked = np.array([x.linked >= LINKED * len("".join(x.text.split())) for x in lines], bool)
+    size = np.array([max(len(x.text) - x.linked, 0) if m else 0 for x, m in zip(lines, may, strict=True)], float)
+    ratio = smoothed(np.log1p(size / np.maximum([x.tags for x in lines], 1)))
+    section, article = np.array([x.element.section for x in lines]), np.array([x.element.article for x in lines])
+    content = may & (ratio > two_means(ratio)) & ~linked
     if not content.any():
         content = may & (ratio >= ratio[may].max())
-    first = np.flatnonzero(content)[[0, -1]]
-    between = np.zeros(len(lines), bool)
-    between[first[0] : first[1] + 1] = True
     # an article is whole, its inner divisions included
-    whole = np.isin(article, np.setdiff1d(article[content], [0]))
-    keep = may & (between | whole | np.isin(section, section[content]))
-    return " ".join(t for (t, _, _), k in zip(lines, keep, strict=True) if k)
+    whole = may & np.isin(article, np.setdiff1d(article[content], [0]))
+    length = np.array([len(x.text) for x in lines])
+    if whole.any() and 2 * length[whole].sum() >= length[whole | content].sum():
+        keep = whole
+    else:
+        first = np.flatnonzero(content)[[0, -1]]
+        between = np.zeros(len(lines), bool)
+        between[first[0] : first[1] + 1] = True
+        keep = edges(lines, whole | may & (between | np.isin(section, section[content])) & (~linked | content))
+    return " ".join(x.text for x, k in zip(lines, keep, strict=True) if k)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
