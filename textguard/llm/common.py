@@ -54,6 +54,16 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows of a few numbers each, up to which a counted table goes to every executor.
+MOST_BROADCAST = 1_000_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A written table of slim rows, to be broadcast if it is counted to have MOST_BROADCAST rows at
+    most; a larger one is joined as Spark sees fit, by a shuffle."""
+    return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
+
+
 def trimmed(text: Column) -> Column:
     """The text (null: empty) without white space at its ends."""
     return F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textguard.llm.common import discard, written
+from textguard.llm.common import discard, small, written
 from textguard.llm.graph import connected_components
 from textguard.llm.shingles import WordHashes, chunks, hashed, list_array, mix, shingle_hashes, with_row_id
 
@@ -118,11 +118,11 @@ def shingle_sets(texts: DataFrame) -> DataFrame:
 def similar(links: DataFrame, sets: DataFrame, a: str, b: str, threshold: float) -> DataFrame:
     """The links whose ends have an exact Jaccard similarity of the threshold at least.
 
-    ``b`` may be the same node in very many links. It is joined last, when a
-    row holds the other end's items, so that rows of a hot node are many bytes
-    and Spark splits them.
+    ``links`` is a written table. ``b`` may be the same node in very many links. It is
+    joined last, when a row holds the other end's items, so that rows of a hot node are
+    many bytes and Spark splits them.
     """
-    x = links.join(sets.select(F.col("node").alias(a), F.col("items").alias("_a")), a)
+    x = small(links).join(sets.select(F.col("node").alias(a), F.col("items").alias("_a")), a)
     x = x.join(sets.select(F.col("node").alias(b), F.col("items").alias("_b")), b)
     x = x.withColumn("_both", F.size(F.array_intersect("_a", "_b")))
     return x.where(F.col("_both") >= threshold * (F.size("_a") + F.size("_b") - F.col("_both"))).select(a, b)
@@ -227,8 +227,9 @@ def all_links(members: DataFrame, sets_of: Callable[[DataFrame], DataFrame], thr
     grouped = written(members.join(groups, "band").select("node", "band", "_n"), "grouped")
     central = grouped.groupBy("node").agg(F.sum("_n").alias("_c"))
     members = written(grouped.join(central, "node"), "members")
-    sets = written(sets_of(members.select("node").distinct()), "sets")
-    discard(grouped)
+    nodes = written(members.select("node").distinct(), "nodes")
+    sets = written(sets_of(small(nodes)), "sets")
+    discard(grouped, nodes)
     reps = members.groupBy("band").agg(F.max(F.struct("_c", "node")).alias("_r")).select("band", F.col("_r.node").alias("rep"))
     stars = written(members.join(reps, "band").where("node <> rep").select("node", "rep").distinct(), "stars")
     links = written(similar(stars, sets, "node", "rep", threshold), "star-links")
