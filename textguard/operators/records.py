@@ -27,6 +27,57 @@ def stripped(value: Column) -> Column:
     return F.regexp_replace(value, r"^\s+|\s+\z", "")
 
 
+#: What a user chose at a warning and what history says of it.
+CHOICES = (
+    (("redact", "redact-copy"), "redacted"), (("replace-safe", "replace-safe-copy"), "safe-example"), (("send-anyway", "upload-original"), "sent-anyway"), (("cancel",), "cancelled"),
+)
+
+
+def history_action(choice: Column) -> Column:
+    """The name in history of a choice; null for any other, which history leaves out."""
+    out = F.lit(None).cast("string")
+    for choices, name in CHOICES:
+        out = F.when(choice.isin(*choices), name).otherwise(out)
+    return out
+
+
+def finite(value: Column) -> Column:
+    """Whether a number is there and neither NaN nor infinite."""
+    x = value.cast("double")
+    return F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))
+
+
+#: What feedback records may say.
+FEEDBACK_LABELS = ("correct", "not-sensitive", "wrong-category")
+SOURCES = ("signature", "structured", "contextual", "semantic")
+LENGTHS = ("short", "medium", "long", "very-long")
+ENTROPIES = ("low", "medium", "high")
+MOST_FEEDBACK = 500
+
+
+def valid_feedback(rows: DataFrame, detectors: Sequence[str]) -> DataFrame:
+    """The feedback records that can be read back: known values, a finite time, a whole
+    fingerprint, features (source, length_bucket, entropy_bucket, placeholder_like,
+    structures); ids of 200 characters at most, categories and structures of 80, 20 structures."""
+    known = [
+        F.col("id").isNotNull(), F.col("detector").isin(*detectors), F.col("category").isNotNull(), F.col("severity").isin(*S.SEVERITIES), F.col("confidence").isin(*CONFIDENCES),
+        F.col("feedback_label").isin(*FEEDBACK_LABELS), finite(F.col("timestamp")), F.col("value_fingerprint").rlike(FINGERPRINT), F.col("source").isin(*SOURCES),
+        F.col("length_bucket").isin(*LENGTHS), F.col("entropy_bucket").isin(*ENTROPIES), F.col("placeholder_like").isNotNull(), F.col("structures").isNotNull(),
+    ]
+    ok = F.lit(True)
+    for x in known:
+        ok = ok & F.coalesce(x, F.lit(False))
+    structures = F.slice(F.transform(F.filter("structures", lambda x: x.isNotNull()), lambda x: F.substring(x, 1, 80)), 1, MOST_CATEGORIES)
+    return rows.where(ok).withColumns({"id": F.substring("id", 1, 200), "category": F.substring("category", 1, 80), "structures": structures})
+
+
+def valid_health(rows: DataFrame, sites: Sequence[str]) -> DataFrame:
+    """The health rows that can be read back: a known site, protection and scanner states that
+    there are, a finite time."""
+    ok = F.col("site").isin(*sites) & F.col("protection").isin("protected", "unavailable") & F.col("scanner").isin("ready", "unavailable") & finite(F.col("updated_at"))
+    return rows.where(F.coalesce(ok, F.lit(False)))
+
+
 def clean_categories(categories: Column) -> Column:
     """Trimmed, non-empty, 80 characters at most, each once, the first twenty."""
     names = F.filter(F.transform(F.filter(categories, lambda x: x.isNotNull()), stripped), lambda x: x != "")
@@ -193,6 +244,19 @@ def normalized_settings(rows: DataFrame, settings: str) -> DataFrame:
     return rows.select("*", *[c.alias(name) for name, c in out.items()])
 
 
+def site_switches(rows: DataFrame, settings: str, sites: Sequence[str]) -> DataFrame:
+    """``rows`` and switches: for each site, whether the settings' JSON text leaves it on (what
+    is no boolean counts as on)."""
+    v = F.try_parse_json(settings)
+
+    def on(site: str) -> Column:
+        path = f"$.sites['{site}']"
+        given = F.when(F.schema_of_variant(F.try_variant_get(v, path, "variant")) == "BOOLEAN", F.try_variant_get(v, path, "boolean"))
+        return F.coalesce(given, F.lit(True))
+
+    return rows.withColumn("switches", F.create_map(*[x for site in sites for x in (F.lit(site), on(site))]))
+
+
 #: Parts of messages (any of them) and the code that they mean, in order.
 ERROR_MESSAGES = (
     (("password authentication failed", "authentication failed", "invalid authorization specification"), "database_authentication_failed"),

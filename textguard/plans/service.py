@@ -321,6 +321,57 @@ def history_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.retained(rows, last or 0, 90)
 
 
+CHOICES = ("redact", "redact-copy", "replace-safe", "replace-safe-copy", "send-anyway", "upload-original", "cancel", "later", None)
+
+
+def history_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "orders").select(F.substring("o_orderpriority", 1, 1).alias("priority"), records.history_action(_of(CHOICES, F.col("o_orderkey"))).alias("action"))
+    return rows.where("action IS NOT NULL").groupBy("priority", "action").agg(F.count("*").alias("n"))
+
+
+def feedback_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feedback of all accepted findings, some of it damaged, as it is read back."""
+    k = F.abs(F.col("doc_id")) + F.col("start")
+    rows = _reviewed(spark, sf_dir)
+    at = F.when(k % 11 == 0, float("nan")).when(k % 11 == 1, float("inf")).when(k % 11 != 2, F.col("timestamp").cast("double"))
+    mark = F.sha2("finding_id", 256)
+    rows = rows.select(
+        F.when(k % 13 != 0, F.col("finding_id")).alias("id"), "detector", F.when(k % 17 != 0, F.repeat("category", 8)).alias("category"), "severity", _of(("low", "high", "certain"), k).alias("confidence"),
+        "feedback_label", at.alias("timestamp"), F.when(k % 7 == 3, F.substring(mark, 1, 63)).otherwise(F.upper(mark)).alias("value_fingerprint"), "source", "length_bucket", "entropy_bucket",
+        F.when(k % 19 != 0, k % 2 == 0).alias("placeholder_like"), F.array_repeat(F.repeat(F.lit("s"), (k % 120).cast("int")), (k % 30).cast("int")).alias("structures"),
+    )
+    rows = rows.withColumn("feedback_label", F.when(F.col("feedback_label") == "wrong_category", "wrong-category").otherwise(F.col("feedback_label")))
+    out = records.valid_feedback(rows, ("email", "secretAssignment", "phoneNumber", "internalHostname"))
+    return out.select("id", "detector", "category", "confidence", "feedback_label", "timestamp", F.array_join("structures", ",").alias("structures"))
+
+
+def feedback_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last records of all feedback, as a store of bounded size keeps them."""
+    rows = feedback_record(spark, sf_dir).select("id", "detector", "timestamp").withColumn("seq", F.concat_ws("/", F.lpad(F.col("timestamp").cast("string"), 20, "0"), "id"))
+    return state.newest_by_sequence(rows, "seq", records.MOST_FEEDBACK).drop("seq")
+
+
+def health_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("event_id")
+    at = F.when(k % 7 == 0, float("nan")).when(k % 7 == 1, float("-inf")).when(k % 7 != 2, F.unix_millis(F.col("ts").cast("timestamp")).cast("double"))
+    rows = _read(spark, sf_dir, "events").select(
+        "event_id", _of((*SITES, "elsewhere", None), k).alias("site"), F.when(F.col("event_type") == "error", "unavailable").when(F.col("event_type") == "view", "unknown").otherwise("protected").alias("protection"),
+        _of(("ready", "unavailable", "ready", None, "busy", "ready"), F.floor(k / 3)).alias("scanner"), at.alias("updated_at"),
+    )
+    return records.valid_health(rows, SITES)
+
+
+#: Texts of settings, with the site's name to be put in.
+SITE_TEXTS = ('{"sites": {"@": false}}', '{"sites": {"@": true}}', '{"sites": {"@": "no"}}', '{"sites": {"@": null}}', '{"sites": []}', "{}", "not json", '{"sites": {"other": false}}')
+
+
+def site_switches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    text = F.replace(_of(SITE_TEXTS, F.floor(k / 3)), F.lit("@"), _of(SITES, k))
+    rows = records.site_switches(_read(spark, sf_dir, "customer").select("c_custkey", text.alias("j")), "j", SITES)
+    return rows.select("c_custkey", *[F.get(F.map_values("switches"), F.lit(i)).alias(s.replace("-", "_")) for i, s in enumerate(SITES)])
+
+
 #: Ends of paths that a normal form changes.
 PATH_ENDS = ("/./a/../b", "/../../x", "/a/b/..", "/%2e/%2E%2e/c", "/one two", "/caf\u00e9/\u65e5?", "", "/", "//x/.", "/.hidden/..a", "/{k}/`t`^", "/a/.")
 
@@ -347,6 +398,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         file_scan, file_warnings, file_copies, history_record, history_validate, history_recent, allowlist_upsert, allowlist_migrate, feedback_record, contribution_payload, payload_rules, payload_ids,
-        settings_normalize, error_codes, origin_filter, top_findings, session_allowlist, allowlist_filter, overlap_all, site_exact, layout_join, paste_debounce, semantic_findings, semantic_merge, semantic_narrow, semantic_scan, word_pieces, sensitive_keys, stand_ins, url_paths, json_objects,
+        settings_normalize, error_codes, origin_filter, top_findings, session_allowlist, allowlist_filter, overlap_all, site_exact, layout_join, paste_debounce, semantic_findings, semantic_merge, semantic_narrow, semantic_scan, word_pieces, sensitive_keys, stand_ins, url_paths, json_objects, history_actions, feedback_validate, feedback_tail, health_validate, site_switches,
     )
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from textguard.operators import records, semantic
 from textguard.plans.oracles import _KIND, _NORMALIZED, EXPLODED, _list, placeholder, q
 from textguard.plans.prompts import inputs_sql
-from textguard.plans.service import AROUND, ERRORS, NAMES, PATH_ENDS, SALT, SETTINGS_TEXTS, SITES
+from textguard.plans.service import AROUND, CHOICES, ERRORS, NAMES, PATH_ENDS, SALT, SETTINGS_TEXTS, SITE_TEXTS, SITES
 from textguard.sources.files import MESSAGES, TEXT_EXTENSIONS
 
 
@@ -72,9 +72,23 @@ _CATEGORY = "CASE label " + " ".join(f"WHEN {q(x[0])} THEN {q(x[1])}" for x in s
 _DOC_FINDINGS = f"SELECT * FROM ({EXPLODED}) AS e0 WHERE doc_id >= 0"
 _INPUT_MATCHES = "SELECT unnest(regexp_extract_all(text, {p}, 1)) AS {n} FROM ({i}) AS i0"
 
+_CHOSEN = "CASE " + _of(CHOICES, "o_orderkey") + " " + " ".join(f"WHEN {q(c)} THEN {q(name)}" for choices, name in records.CHOICES for c in choices) + " END"
+_SWITCH = ", ".join(
+    f"""coalesce(CASE WHEN json_type(j, '$.sites."{s}"') = 'BOOLEAN' THEN (j->>'$.sites."{s}"')::BOOLEAN END, true) AS {s.replace("-", "_")}""" for s in SITES
+)
 _AROUND = [f"[{', '.join(q(x[i]) for x in AROUND)}][event_id % {len(AROUND)} + 1]" for i in (0, 1)]
 
 ORACLES = {
+    "history_actions": f"SELECT priority, action, count(*) AS n FROM (SELECT substr(o_orderpriority, 1, 1) AS priority, {_CHOSEN} AS action FROM orders) AS o WHERE action IS NOT NULL GROUP BY priority, action",
+    "feedback_validate": f"""SELECT finding_id AS id, detector, substr(repeat(category, 8), 1, 80) AS category, {_of(('low', 'high', 'certain'), 'k')} AS confidence, feedback_label, (k * 1000)::DOUBLE AS timestamp,
+        array_to_string(list_transform(range(least(k % 30, 20)), lambda i: repeat('s', least(k % 120, 80))), ',') AS structures FROM ({_REVIEWED}) AS r
+      WHERE k % 13 <> 0 AND k % 17 <> 0 AND k % 3 <> 2 AND k % 11 > 2 AND k % 7 <> 3 AND k % 19 <> 0 AND detector IN ('email', 'secretAssignment', 'phoneNumber', 'internalHostname')""",
+    "feedback_tail": f"""SELECT id, detector, timestamp FROM (SELECT (k * 1000) || '-' || finding_id || '-' || feedback_label AS id, detector, k * 1000 AS timestamp FROM ({_REVIEWED}) AS r) AS f
+      ORDER BY lpad(timestamp::VARCHAR, 20, '0') || '/' || id DESC LIMIT 500""",
+    "health_validate": f"""SELECT * FROM (SELECT event_id, {_of((*SITES, 'elsewhere', None), 'event_id')} AS site, CASE event_type WHEN 'error' THEN 'unavailable' WHEN 'view' THEN 'unknown' ELSE 'protected' END AS protection,
+        {_of(('ready', 'unavailable', 'ready', None, 'busy', 'ready'), 'event_id // 3')} AS scanner, CASE WHEN event_id % 7 > 2 THEN epoch_ms(ts)::DOUBLE END AS updated_at FROM events) AS h
+      WHERE site IN ({_list(SITES)}) AND protection <> 'unknown' AND scanner IN ('ready', 'unavailable') AND updated_at IS NOT NULL""",
+    "site_switches": f"SELECT c_custkey, {_SWITCH} FROM (SELECT c_custkey, try_cast(replace({_of(SITE_TEXTS, 'c_custkey // 3')}, '@', {_of(SITES, 'c_custkey')}) AS JSON) AS j FROM customer) AS s",
     "json_objects": f"""SELECT event_id, CASE WHEN json_valid(t) THEN json_type(t) = 'OBJECT' ELSE false END AS is_object FROM (
         SELECT event_id, {_AROUND[0]} || CASE WHEN event_id % 7 = 5 THEN replace(props, '"', '\'\'') ELSE props END || {_AROUND[1]} AS t FROM events) AS e0""",
     "url_paths": rf"""WITH p AS (SELECT page_id, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) || {_of(PATH_ENDS, "page_id")} AS path FROM pages),

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import io
+import math
 import re
 import zipfile
 from collections.abc import Callable
+from dataclasses import dataclass
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -25,6 +27,30 @@ MOST_FILES = 10
 MOST_TOTAL = 25 * 1024 * 1024
 
 
+def positive_limit(value: float | None, fallback: int) -> int:
+    """A limit as given, rounded down; the fallback for what is no finite number above 0."""
+    return math.floor(value) if isinstance(value, (int, float)) and not isinstance(value, bool) and math.isfinite(value) and value > 0 else fallback
+
+
+@dataclass(frozen=True)
+class Limits:
+    """What a scan of files takes on: bytes of a file, characters that are read of it."""
+
+    bytes: float | None = None
+    chars: float | None = None
+
+    @property
+    def most_bytes(self) -> int:
+        return positive_limit(self.bytes, MOST_BYTES)
+
+    @property
+    def most_chars(self) -> int:
+        return positive_limit(self.chars, MOST_CHARS)
+
+
+USUAL = Limits()
+
+
 def base_name(name: Column) -> Column:
     return F.regexp_extract(F.lower(F.trim(name)), r"[^\\/]*\z", 0)
 
@@ -167,14 +193,14 @@ def docx_text(data: bytes, most_chars: int = MOST_CHARS) -> tuple[str | None, st
         return None, "extraction-failed"
 
 
-def _unpacked(contents: pd.Series) -> pd.DataFrame:
+def _unpacked(contents: pd.Series, most_chars: int) -> pd.DataFrame:
     """Text and reason of word-processing documents and of UTF-16 text."""
 
     def one(data: bytes | None) -> tuple[str | None, str | None]:
         if data is None:
             return None, None
         if data[:2] not in (b"\xff\xfe", b"\xfe\xff"):
-            return docx_text(bytes(data))
+            return docx_text(bytes(data), most_chars)
         try:
             return bytes(data[2:]).decode("utf-16-le" if data[:1] == b"\xff" else "utf-16-be"), None
         except UnicodeDecodeError:
@@ -183,15 +209,21 @@ def _unpacked(contents: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([one(x) for x in contents], columns=["text", "reason"])
 
 
-def extracted(files: DataFrame) -> DataFrame:
+def extracted(files: DataFrame, limits: Limits = USUAL) -> DataFrame:
     """``files`` (name, mime, content) and format, text, reason: what can be read of each, or
     why not. Word-processing documents and UTF-16 text leave the JVM, all others are null
     there; PDF has no reader here."""
     content, kind, sniff = F.col("content"), F.col("format"), F.col("_sniffed")
-    rows = files.withColumn("format", file_format(F.col("name"), F.col("mime"))).withColumn("_sniffed", sniffed(content)).withColumn("_large", F.length(content) > MOST_BYTES)
+    rows = files.withColumn("format", file_format(F.col("name"), F.col("mime"))).withColumn("_sniffed", sniffed(content)).withColumn("_large", F.length(content) > limits.most_bytes)
     plain, docx = (kind == "text") & sniff.isNull() & ~F.col("_large"), (kind == "docx") & (sniff == "zip") & ~F.col("_large")
     wide = starts_with(content, "FFFE", "FEFF")
-    rows = rows.withColumn("_unpacked", F.pandas_udf(_unpacked, "text string, reason string")(F.when(docx | plain & wide, content)))
+    most = limits.most_chars
+
+    @F.pandas_udf("text string, reason string")
+    def unpack(contents: pd.Series) -> pd.DataFrame:
+        return _unpacked(contents, most)
+
+    rows = rows.withColumn("_unpacked", unpack(F.when(docx | plain & wide, content)))
     rows = rows.withColumn("_text", F.coalesce(F.col("_unpacked.text"), F.when(plain & ~wide, decoded(content))))
     text = F.col("_text")
     reason = (
@@ -199,20 +231,20 @@ def extracted(files: DataFrame) -> DataFrame:
         .when((kind == "docx") & (sniff == "ole"), "encrypted-document").when((kind == "docx") & ~F.coalesce(sniff == "zip", F.lit(False)), "extraction-failed")
         .when(kind == "pdf", "extraction-failed").when(F.col("_unpacked.reason").isNotNull(), F.col("_unpacked.reason"))
         .when((kind == "text") & (text.isNull() | is_binary_text(text)), "unknown-binary")
-        .when(F.length(text) > MOST_CHARS, "extraction-limit-exceeded").when((kind == "docx") & ~text.rlike(r"\S"), "no-extractable-text")
+        .when(F.length(text) > most, "extraction-limit-exceeded").when((kind == "docx") & ~text.rlike(r"\S"), "no-extractable-text")
     )
     out = settled_row(rows.select(*files.columns, "format", text.alias("text"), reason.alias("reason")))
     return out.withColumn("text", F.when(F.col("reason").isNull(), F.col("text")))
 
 
-def scanned_files(files: DataFrame, scanner: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def scanned_files(files: DataFrame, scanner: Callable[[DataFrame], DataFrame], limits: Limits = USUAL) -> DataFrame:
     """``files`` (name, mime, content) without the content, and extension, format, status,
     reason, message, n_chars, findings, can_sanitize. ``scanner`` adds findings to rows with a text."""
-    rows = scanner(extracted(files))
+    rows = scanner(extracted(files, limits))
     read = F.col("reason").isNull()
     return rows.select(
         *[c for c in files.columns if c != "content"], file_extension(F.col("name")).alias("extension"), "format", F.when(read, "scanned").otherwise("unscannable").alias("status"),
-        "reason", message(F.col("reason")).alias("message"), F.length("text").alias("n_chars"), "findings", (read & (F.col("format") == "text")).alias("can_sanitize"),
+        "reason", message(F.col("reason"), limits.most_bytes).alias("message"), F.length("text").alias("n_chars"), "findings", (read & (F.col("format") == "text")).alias("can_sanitize"),
     )
 
 
@@ -236,11 +268,11 @@ def category_list(findings: Column) -> Column:
     return F.array_join(F.array_distinct(F.transform(findings, lambda f: f["category"])), ", ")
 
 
-def text_files(spark: SparkSession, path: str) -> DataFrame:
+def text_files(spark: SparkSession, path: str, limits: Limits = USUAL) -> DataFrame:
     """path, status, reason, text of the files below a path. Sizes are compared
     before contents are read, as the source pushes ``length`` down."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    large = files.where(F.col("length") > MOST_BYTES).select("path", F.lit("file-too-large").alias("reason"), F.lit(None).cast("string").alias("text"))
-    small = files.where(F.col("length") <= MOST_BYTES).select("path", F.col("path").alias("name"), F.lit("").alias("mime"), "content")
-    out = large.unionByName(extracted(small).select("path", "reason", "text"))
+    large = files.where(F.col("length") > limits.most_bytes).select("path", F.lit("file-too-large").alias("reason"), F.lit(None).cast("string").alias("text"))
+    small = files.where(F.col("length") <= limits.most_bytes).select("path", F.col("path").alias("name"), F.lit("").alias("mime"), "content")
+    out = large.unionByName(extracted(small, limits).select("path", "reason", "text"))
     return out.select("path", F.when(F.col("reason").isNull(), "scanned").otherwise("unscannable").alias("status"), "reason", "text")
