@@ -26,14 +26,15 @@ def append(rows: DataFrame, path: str) -> None:
     rows.withColumn(DAY, day_of(F.col("timestamp"))).write.mode("append").partitionBy(DAY).parquet(path)
 
 
-def _folder(spark: SparkSession, path: str):
+def table_folder(spark: SparkSession, path: str) -> tuple:
+    """(file system, folder) of a table's path."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
 
 
 def days(spark: SparkSession, path: str) -> list[str]:
     """The days that the table has partitions of, in order; none if there is no table."""
-    fs, folder = _folder(spark, path)
+    fs, folder = table_folder(spark, path)
     if not fs.exists(folder):
         return []
     return sorted(s.getPath().getName().partition("=")[2] for s in fs.listStatus(folder) if s.isDirectory() and s.getPath().getName().startswith(f"{DAY}="))
@@ -46,7 +47,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _drop(spark: SparkSession, path: str, gone: list[str]) -> None:
-    fs, folder = _folder(spark, path)
+    fs, folder = table_folder(spark, path)
     for day in gone:
         fs.delete(spark._jvm.org.apache.hadoop.fs.Path(folder, f"{DAY}={day}"), True)
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textguard.operators.detect import scan
+from textguard.sources.history_store import table_folder
 
 
 def scan_stream(docs: DataFrame) -> DataFrame:
@@ -23,21 +24,19 @@ def debounced_stream(events: DataFrame, key: str, at: str, value: str, gap: str
 def idempotent_sink(path: str, key: str, day: str | None = None):
     """A function for foreachBatch that appends the rows of a batch whose key the table
     lacks: a batch that is replayed adds nothing. With a column ``day`` that a key always
-    has alike, the table is partitioned by it and only the batch's own days are read."""
+    has alike, the table is partitioned by it and only the days between the batch's first
+    and last are read."""
 
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         fresh = batch.dropDuplicates([key])
-        try:
+        fs, folder = table_folder(spark, path)
+        if fs.exists(folder):
             known = spark.read.parquet(path)
-            if day:  # a row for each day of the batch
-                known = known.where(F.col(day).isin([r[0] for r in fresh.select(day).distinct().collect()]))
-            known = known.select(key)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        else:
-            fresh = fresh.join(known, key, "left_anti")
+            if day:
+                bounds = fresh.agg(F.min(day).alias("first"), F.max(day).alias("last")).first()
+                known = known.where(F.col(day).between(bounds["first"], bounds["last"]))
+            fresh = fresh.join(known.select(key), key, "left_anti")
         out = fresh.write.mode("append")
         (out.partitionBy(day) if day else out).parquet(path)
 
