@@ -183,8 +183,9 @@ def judge(featured: DataFrame, threshold: float = 0.5) -> DataFrame:
     counted = votes.where("n_words > 0").groupBy("_pattern").count()
     counts = {r["_pattern"]: r["count"] for r in counted.collect()}  # at most N_PATTERNS rows
     good = posteriors(counts)
-    lookup = F.create_map(*[F.lit(x) for pair in sorted(good.items()) for x in pair]) if good else None
-    posterior = F.coalesce(lookup[F.col("_pattern")], F.lit(0.0)) if good else F.lit(0.0)
+    # one constant, read at the pattern's place: a map would be searched for each row
+    lookup = F.split(F.lit(",".join(repr(good.get(p, 0.0)) for p in range(max(good, default=0) + 1))), ",").cast("array<double>")
+    posterior = F.coalesce(F.get(lookup, F.col("_pattern")), F.lit(0.0))
     return (
         votes.withColumn("base_failed", base_failed())
         .withColumn("posterior", posterior)
