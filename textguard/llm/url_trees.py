@@ -8,8 +8,9 @@ directory (their frequency in the corpus and the smoothed blocked share of
 their labelled URLs).
 
 Features are DataFrame expressions and suffix statistics cover all pages. Trees
-are fitted on at most SAMPLE_ROWS labelled URLs. Suffix statistics are
-broadcast only while they are MOST_SUFFIXES rows at most, and joined otherwise.
+are fitted on at most SAMPLE_ROWS labelled URLs. Suffix statistics of the
+MOST_SUFFIXES most frequent are broadcast, any others joined by a shuffle. The
+pages are read once; what follows reads a table of their features.
 
 Defined cases: a null URL and one without ``://`` have an empty host and path,
 fit no rule and are judged by their features; a host may be empty; without
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textguard.llm.common import drawn
+from textguard.llm.common import discard, drawn, written
 
 #: host and path prefix, verdict
 RULES = (
@@ -99,17 +100,29 @@ def lexical(df: DataFrame) -> DataFrame:
     return df.drop("_url", "_kinds")
 
 
-def with_suffix_statistics(df: DataFrame) -> DataFrame:
-    """``df`` and, of the host's suffix and of the path's first part, how many URLs share
-    it and how often labelled ones are blocked. Tables of up to MOST_SUFFIXES rows are
-    broadcast, larger ones joined by a shuffle."""
+def joined(df: DataFrame, per: DataFrame, key: str, size: str, most: int) -> DataFrame:
+    """``df`` with the row of ``per`` of its key. The ``most`` keys that ``size`` counts most rows of are
+    broadcast; what is left, of keys that none has many rows of, is joined by a shuffle."""
+    per = written(per, "url-statistics")
+    if per.count() <= most:
+        return df.join(F.broadcast(per.drop(size)), key)
+    hot = per.orderBy(F.col(size).desc(), key).limit(most)
+    cold = per.join(F.broadcast(hot.select(key)), key, "left_anti")
+    met = df.join(F.broadcast(hot.withColumnRenamed(size, "_met")), key, "left")
+    rest = met.where("_met IS NULL").select(*df.columns).join(cold.drop(size), key)
+    return met.where("_met IS NOT NULL").drop("_met").unionByName(rest)
+
+
+def with_suffix_statistics(df: DataFrame, most: int = MOST_SUFFIXES) -> DataFrame:
+    """``df`` (a written table) and, of the host's suffix and of the path's first part, how
+    many URLs share it and how often labelled ones are blocked."""
+    out = df
     for key, name in (("_suffix", "suffix"), ("_head", "head")):
         per = df.groupBy(key).agg(F.count("*").alias("_n"), F.count("_verdict").alias("_labelled"), F.count(F.when(F.col("_verdict") == "block", 1)).alias("_blocked"))
         # ten pseudo-labels keep a rare suffix, and so a URL's own label, near one half
-        per = per.select(key, F.log1p("_n").alias(f"{name}_log_count"), ((F.col("_blocked") + 5.0) / (F.col("_labelled") + 10.0)).alias(f"{name}_blocked"))
-        small = per.limit(MOST_SUFFIXES + 1).count() <= MOST_SUFFIXES
-        df = df.join(F.broadcast(per) if small else per, key)
-    return df
+        per = per.select(key, "_n", F.log1p("_n").alias(f"{name}_log_count"), ((F.col("_blocked") + 5.0) / (F.col("_labelled") + 10.0)).alias(f"{name}_blocked"))
+        out = joined(out, per, key, "_n", most)
+    return out
 
 
 class Trees:
@@ -175,19 +188,24 @@ class Trees:
 
 
 def featured(pages: DataFrame, rules: tuple = RULES) -> DataFrame:
-    """page_id, host, path, rule, _verdict and the features of every page."""
-    df = with_suffix_statistics(lexical(with_rule(parts(pages.select("page_id", "url")), rules)))
-    return df.select("page_id", "host", "path", "rule", "_verdict", F.array(*FEATURES).alias("_x"))
+    """page_id, host, path, rule, _verdict and the features of every page, as a written table."""
+    slim = lexical(with_rule(parts(pages.select("page_id", "url")), rules))
+    own = written(slim.drop("url", "_query"), "url-features")
+    df = with_suffix_statistics(own).select("page_id", "host", "path", "rule", "_verdict", F.array(*FEATURES).alias("_x"))
+    out = written(df, "url-vectors")
+    discard(own)
+    return out
 
 
 def judge_urls(pages: DataFrame, rules: tuple = RULES) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, score (of a block)."""
     df = featured(pages, rules)
-    labelled = with_rule(parts(pages.select("page_id", "url")), rules).where("_verdict IS NOT NULL").count()
+    labelled = df.where("_verdict IS NOT NULL").count()
     # drawn by a hash of the row: no task hands on more than its part of the sample
     some = df.where("_verdict IS NOT NULL").where(drawn(SAMPLE_ROWS, labelled, F.col("page_id").cast("string"), F.col("host"), F.col("path"), F.col("_x")))
-    rows = some.select("_x", (F.col("_verdict") == "block").cast("double").alias("y")).limit(2 * SAMPLE_ROWS).toPandas()
-    rows = rows.iloc[sorted(range(len(rows)), key=lambda i: (tuple(rows["_x"][i]), rows["y"][i]))]
+    rows = some.select("_x", (F.col("_verdict") == "block").cast("double").alias("y"))
+    # repeated rows could exceed the bound; the first by hash are taken, whatever the run
+    rows = rows.orderBy(F.xxhash64("_x", "y"), "_x", "y").limit(2 * SAMPLE_ROWS).toPandas()
     x = np.stack(rows["_x"].to_list()) if len(rows) else np.zeros((0, len(FEATURES)))
     trees = Trees(x, rows["y"].to_numpy(float))
 
