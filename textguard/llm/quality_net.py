@@ -1,20 +1,25 @@
 """A quality classifier on random-indexing word vectors.
 
 Random indexing: every word has a sparse random index vector (NONZERO entries
-of +1 or -1 among DIMENSIONS, from its hash), and its word vector is the sum of
-the index vectors of its neighbours over the whole corpus, itself included.
-Words share SLOTS rows by hash, so the table of vectors has a fixed size at any
-vocabulary. Tokens are runs of letters, digits or marks; words in capitals are
-tokens of their own kind.
+of +1 or -1 among DIMENSIONS, from its 64-bit hash), and its word vector is the
+sum of the index vectors of its neighbours over the whole corpus, itself
+included. Tokens are runs of letters, digits or marks; words in capitals are
+words of their own.
+
+Sums are kept by word, as whole numbers, over all documents. The words that make
+up at least one in MOST_WORDS of all tokens, MOST_WORDS at most by that, have
+their vectors in a table that goes to every task. A rarer word takes the sum of
+its neighbours within the document that it stands in, which is its whole sum if
+it stands in no other.
 
 A document is pooled to the mean and the standard deviation of its tokens'
 vectors, its length and its share of distinct tokens. A two-layer network in
 numpy scores it; a temperature fitted on labelled rows that the weights did not
 see calibrates the probabilities.
 
-The vectors cover all documents. The network is fitted on at most SAMPLE_DOCS
-labelled documents, drawn by a hash of their ids. Two passes over the texts; what is shuffled is a table of
-SLOTS vectors for each task of the first pass.
+The network is fitted on at most SAMPLE_DOCS labelled documents, drawn by a hash
+of their ids. Two passes over the texts; what is shuffled is a row for each
+distinct word of each task of the first pass.
 
 Defined cases: a null text is an empty one; empty texts are scored from their
 zero features; without labelled rows, or with one class only, all get that
@@ -34,10 +39,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textguard.llm.common import bucket_of, drawn, written
+from textguard.llm.common import bucket_of, discard, drawn, written
 from textguard.llm.shingles import chunks, list_array, mix
 
-SLOTS = 1 << 13
+#: A word has a row in the table of vectors if it is one in so many tokens or more.
+MOST_WORDS = 1 << 17
 DIMENSIONS = 32
 NONZERO = 4
 REACH = 2
@@ -47,94 +53,152 @@ THRESHOLD = 0.7
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 
 
-class Slots(dict):
-    """The slot of each token; mostly remembered."""
+def index_vectors(words: np.ndarray) -> np.ndarray:
+    """The index vectors of words, given by their hashes."""
+    out = np.zeros((len(words), DIMENSIONS), np.int8)
+    for k in range(NONZERO):
+        h = mix(words + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % 2**64))
+        out[np.arange(len(words)), (h % np.uint64(DIMENSIONS)).astype(int)] += np.where((h >> np.uint64(40)) & np.uint64(1), 1, -1).astype(np.int8)
+    return out
+
+
+class Words(dict):
+    """The number that each token's word has in this task, with the words' hashes and index vectors."""
 
-    MOST = 500_000
+    #: Words and spellings held at a time.
+    MOST = 200_000
+
+    def __init__(self) -> None:
+        super().__init__()
+        self._numbers: dict[int, int] = {}
+        self._fresh: list[int] = []
+        self.hashes = np.zeros(0, np.uint64)
+        self.index = np.zeros((0, DIMENSIONS), np.int8)
 
     def __missing__(self, token: str) -> int:
-        if len(self) >= self.MOST:
-            self.clear()
         kind = token.lower()
         if len(token) > 1 and token.isupper():
             kind = "^" + kind
-        self[token] = n = xxhash.xxh64_intdigest(kind.encode("utf-8", "surrogatepass")) % SLOTS
+        h = xxhash.xxh64_intdigest(kind.encode("utf-8", "surrogatepass"))
+        n = self._numbers.get(h)
+        if n is None:
+            n = self._numbers[h] = len(self._numbers)
+            self._fresh.append(h)
+        self[token] = n
         return n
 
+    def read(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
+        """All tokens' words, and where each text's begin (with the end of the last)."""
+        lists = [_TOKEN.findall(t) if t else [] for t in texts]
+        starts = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
+        flat = np.fromiter((self[w] for x in lists for w in x), np.int64, int(starts[-1]))
+        if self._fresh:
+            fresh = np.array(self._fresh, np.uint64)
+            self.hashes, self.index = np.concatenate([self.hashes, fresh]), np.concatenate([self.index, index_vectors(fresh)])
+            self._fresh = []
+        return flat, starts
 
-def index_vectors() -> np.ndarray:
-    """The index vector of each slot."""
-    out = np.zeros((SLOTS, DIMENSIONS), np.float32)
-    slot = np.arange(SLOTS, dtype=np.uint64)
-    for k in range(NONZERO):
-        h = mix(slot * np.uint64(NONZERO) + np.uint64(k + 1))
-        np.add.at(out, (np.arange(SLOTS), (h % np.uint64(DIMENSIONS)).astype(int)), np.where((h >> np.uint64(40)) & np.uint64(1), 1.0, -1.0))
-    return out
-
+    def full(self) -> bool:
+        return len(self) > self.MOST
 
-def tokens(texts: list, cache: Slots) -> tuple[np.ndarray, np.ndarray]:
-    """All tokens' slots, and where each text's begin (with the end of the last)."""
-    lists = [_TOKEN.findall(t) if t else [] for t in texts]
-    starts = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
-    return np.fromiter((cache[w] for x in lists for w in x), np.int64, int(starts[-1])), starts
 
-
-def neighbours(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """How often each pair of slots stands within REACH: (slot, slot, times) as three rows."""
+def neighbours(flat: np.ndarray, starts: np.ndarray, n_words: int) -> np.ndarray:
+    """How often each pair of words stands within REACH: (word, word, times) as three rows."""
     owner = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-    keys = [flat * SLOTS + flat]
+    keys = [flat * n_words + flat]
     for d in range(1, REACH + 1):
         same = owner[d:] == owner[:-d]
         a, b = flat[d:][same], flat[:-d][same]
-        keys += [a * SLOTS + b, b * SLOTS + a]
+        keys += [a * n_words + b, b * n_words + a]
     key, n = np.unique(np.concatenate(keys), return_counts=True)
-    return np.stack([key // SLOTS, key % SLOTS, n])
+    return np.stack([key // max(n_words, 1), key % max(n_words, 1), n])
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    cache, index = Slots(), index_vectors()
-    total = np.zeros((SLOTS, DIMENSIONS))
+    words, total, count = Words(), np.zeros((0, DIMENSIONS), np.int64), np.zeros(0, np.int64)
+
+    def out() -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(total), 4096):
+            values = list_array(total[i : i + 4096].ravel(), np.full(len(total[i : i + 4096]), DIMENSIONS), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(words.hashes[i : i + 4096].view(np.int64)), pa.array(count[i : i + 4096]), values], names=["word", "n", "v"])
+
     for batch in batches:
-        for _, texts in chunks(batch, most_chars=2_000_000):
-            a, b, n = neighbours(*tokens(texts, cache))
+        for _, texts in chunks(batch, most_chars=1_000_000):
+            flat, starts = words.read(texts)
+            new = len(words.hashes) - len(total)
+            total, count = np.concatenate([total, np.zeros((new, DIMENSIONS), np.int64)]), np.concatenate([count, np.zeros(new, np.int64)])
+            count += np.bincount(flat, minlength=len(count))
+            a, b, n = neighbours(flat, starts, len(count))
             for i in range(0, len(a), 200_000):
                 s = slice(i, i + 200_000)
                 rows, at = np.unique(a[s], return_index=True)  # a is sorted
-                total[rows] += np.add.reduceat(index[b[s]] * n[s, None].astype(np.float32), at)
-    some = np.flatnonzero(np.abs(total).sum(axis=1))
-    for i in range(0, len(some), 4096):
-        rows = some[i : i + 4096]
-        values = list_array(total[rows].ravel(), np.full(len(rows), DIMENSIONS), pa.float64())
-        yield pa.RecordBatch.from_arrays([pa.array(rows.astype(np.int32)), values], names=["slot", "v"])
+                total[rows] += np.add.reduceat(words.index[b[s]] * n[s, None], at)
+            if words.full():
+                yield from out()
+                words, total, count = Words(), total[:0], count[:0]
+    yield from out()
+
 
+def unit(v: np.ndarray) -> np.ndarray:
+    return (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
-def word_vectors(docs: DataFrame) -> np.ndarray:
-    """The table of word vectors over all documents, scaled to unit length."""
-    parts = docs.select("text").mapInArrow(_contexts, "slot int, v array<double>")
+
+def word_vectors(docs: DataFrame, most_words: int = MOST_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted hashes of the words that are at least one in ``most_words`` tokens of all
+    documents, and their vectors, scaled to unit length."""
+    parts = docs.select("text").mapInArrow(_contexts, "word long, n long, v array<long>")
     sums = [F.sum(F.col("v")[k]).alias(f"v{k}") for k in range(DIMENSIONS)]
-    found = parts.groupBy("slot").agg(*sums).toPandas()  # SLOTS rows at most
-    out = np.zeros((SLOTS, DIMENSIONS), np.float32)
-    out[found["slot"].to_numpy(int)] = found.drop(columns="slot").to_numpy()
-    norm = np.linalg.norm(out, axis=1, keepdims=True)
-    return out / np.maximum(norm, 1e-9)
+    found = written(parts.groupBy("word").agg(F.sum("n").alias("n"), *sums), "quality-words")
+    total = found.agg(F.sum("n")).first()[0] or 0
+    # shares that add up to 1 at most: most_words rows at most
+    rows = found.where(F.col("n") >= total / most_words).drop("n").toPandas()
+    discard(found)
+    hashes = rows["word"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], unit(rows.drop(columns="word").to_numpy(np.float64))[order]
 
 
 N_FEATURES = 2 * DIMENSIONS + 3
 
 
-def pooled(texts: list, cache: Slots, vectors: np.ndarray) -> np.ndarray:
-    flat, starts = tokens(texts, cache)
+def own_contexts(flat: np.ndarray, starts: np.ndarray, places: np.ndarray, index: np.ndarray) -> np.ndarray:
+    """The sum of the index vectors around each of the given places of the texts."""
+    end = np.repeat(starts[1:], np.diff(starts))[places]
+    begin = np.repeat(starts[:-1], np.diff(starts))[places]
+    out = index[flat[places]]
+    for d in (d for k in range(1, REACH + 1) for d in (-k, k)):
+        inside = (places + d >= begin) & (places + d < end)
+        out[inside] += index[flat[places[inside] + d]]
+    return out
+
+
+def pooled(texts: list, words: Words, known: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """The features of texts; ``known`` are the sorted hashes of the words that ``vectors`` are of."""
+    flat, starts = words.read(texts)
     n = np.diff(starts)
     out = np.zeros((len(texts), N_FEATURES), np.float32)
     some = np.flatnonzero(n)
     if len(some):
-        owner = np.repeat(np.arange(len(texts)), n)
-        # one entry for each distinct token of a text, with its count
-        key, count = np.unique(owner * SLOTS + flat, return_counts=True)
-        owner, slot = key // SLOTS, key % SLOTS
+        place = np.minimum(np.searchsorted(known, words.hashes), max(len(known) - 1, 0))
+        place = np.where(known[place] == words.hashes, place, -1) if len(known) else np.full(len(words.hashes), -1)
+        width = len(words.hashes)
+        token = np.repeat(np.arange(len(texts)), n) * width + flat
+        # one entry for each distinct word of a text, with its count
+        key, count = np.unique(token, return_counts=True)
+        owner, word = key // width, key % width
+        v = vectors[place[word]] if len(known) else np.zeros((len(key), DIMENSIONS), np.float32)
+        rare = np.flatnonzero(place[flat] < 0)
+        if len(rare):
+            entry = np.searchsorted(key, token[rare])
+            order = np.argsort(entry, kind="stable")
+            rare, entry = rare[order], entry[order]
+            at = np.flatnonzero(np.concatenate([[True], entry[1:] != entry[:-1]]))
+            v[entry[at]] = unit(np.add.reduceat(own_contexts(flat, starts, rare, words.index), at, dtype=np.int64))
+        # numbers of words differ by task, so sums are taken in the order of their hashes
+        order = np.lexsort((words.hashes[word], owner))
+        v, count, owner = v[order], count[order], owner[order]
         at = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
         w = (count / n[owner])[:, None].astype(np.float32)
-        v = vectors[slot]
         mean = np.add.reduceat(v * w, at)
         square = np.add.reduceat(v * v * w, at)
         out[some, :DIMENSIONS] = mean
@@ -146,14 +210,16 @@ def pooled(texts: list, cache: Slots, vectors: np.ndarray) -> np.ndarray:
     return out
 
 
-def document_features(docs: DataFrame, vectors: np.ndarray) -> DataFrame:
+def document_features(docs: DataFrame, known: np.ndarray, vectors: np.ndarray) -> DataFrame:
     """doc_id, held_out and the features of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = Slots()
+        words = Words()
         for batch in batches:
-            for rows, texts in chunks(batch, most_chars=2_000_000):
-                x = pooled(texts, cache, vectors)
+            for rows, texts in chunks(batch, most_chars=1_000_000):
+                x = pooled(texts, words, known, vectors)
+                if words.full():
+                    words = Words()
                 yield pa.RecordBatch.from_arrays(
                     [rows.column("doc_id"), rows.column("held_out"), list_array(x.ravel(), np.full(len(texts), N_FEATURES), pa.float32())],
                     names=["doc_id", "held_out", "x"],
@@ -212,15 +278,13 @@ class Network:
 def score_documents(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted."""
     slim = docs.select("doc_id", "text", (bucket_of(F.col("doc_id"), folds) == held).alias("held_out"))
-    vectors = word_vectors(slim)
-    featured = written(document_features(slim, vectors), "quality-features")
+    featured = written(document_features(slim, *word_vectors(slim)), "quality-features")
     marks = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (bucket_of(F.col("doc_id"), folds) != held))
     marks = written(marks.groupBy("doc_id").agg(F.max("quality").alias("y")), "quality-marks")
     # drawn by a hash: no task hands on more than its part of the sample
     marks = marks.where(drawn(SAMPLE_DOCS, marks.count(), F.col("doc_id").cast("string")))
-    # repeated documents of one id could exceed the bound
-    rows = featured.join(marks, "doc_id").select("doc_id", "x", "y").limit(2 * SAMPLE_DOCS).toPandas()
-    rows = rows.iloc[sorted(range(len(rows)), key=lambda i: (rows["doc_id"][i], tuple(rows["x"][i])))]
+    # equal documents of one id are one row; unlike ones could exceed the bound, and the first by hash are taken
+    rows = featured.join(marks, "doc_id").select("doc_id", "x", "y").distinct().orderBy(F.xxhash64("doc_id", "x"), "doc_id", "x").limit(2 * SAMPLE_DOCS).toPandas()
     x = np.stack(rows["x"].to_list()).astype(np.float32) if len(rows) else np.zeros((0, N_FEATURES), np.float32)
     network = Network(x, rows["y"].to_numpy(float))
 
