@@ -6,7 +6,7 @@ sum of the index vectors of its neighbours over the whole corpus, itself
 included. Tokens are runs of letters, digits or marks; words in capitals are
 words of their own.
 
-Sums are kept by word, as whole numbers, over all documents. The words that make
+Counts and sums are kept by word, as whole numbers, over all documents. The words that make
 up at least one in MOST_WORDS of all tokens, MOST_WORDS at most by that, have
 their vectors in a table that goes to every task. A rarer word takes the sum of
 its neighbours within the document that it stands in, which is its whole sum if
@@ -18,8 +18,9 @@ numpy scores it; a temperature fitted on labelled rows that the weights did not
 see calibrates the probabilities.
 
 The network is fitted on at most SAMPLE_DOCS labelled documents, drawn by a hash
-of their ids. Two passes over the texts; what is shuffled is a row for each
-distinct word of each task of the first pass.
+of their ids. Three passes over the texts: words are counted, the frequent ones'
+neighbours summed, documents pooled. What is shuffled is a count for each distinct
+word and a vector for each frequent one of each task.
 
 Defined cases: a null text is an empty one; empty texts are scored from their
 zero features; without labelled rows, or with one class only, all get that
@@ -102,43 +103,63 @@ class Words(dict):
         return len(self) > self.MOST
 
 
-def neighbours(flat: np.ndarray, starts: np.ndarray, n_words: int) -> np.ndarray:
-    """How often each pair of words stands within REACH: (word, word, times) as three rows."""
-    owner = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-    keys = [flat * n_words + flat]
-    for d in range(1, REACH + 1):
-        same = owner[d:] == owner[:-d]
-        a, b = flat[d:][same], flat[:-d][same]
-        keys += [a * n_words + b, b * n_words + a]
-    key, n = np.unique(np.concatenate(keys), return_counts=True)
-    return np.stack([key // max(n_words, 1), key % max(n_words, 1), n])
+def contexts(flat: np.ndarray, starts: np.ndarray, places: np.ndarray, index: np.ndarray) -> np.ndarray:
+    """The sum of the index vectors around each of the given places of the texts."""
+    end = np.repeat(starts[1:], np.diff(starts))[places]
+    begin = np.repeat(starts[:-1], np.diff(starts))[places]
+    out = index[flat[places]]
+    for d in (d for k in range(1, REACH + 1) for d in (-k, k)):
+        inside = (places + d >= begin) & (places + d < end)
+        out[inside] += index[flat[places[inside] + d]]
+    return out
+
 
+def summed(group: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct groups, sorted, and the sum of each one's rows."""
+    order = np.argsort(group, kind="stable")
+    group = group[order]
+    at = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    return group[at], np.add.reduceat(rows[order], at, dtype=np.int32)
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words, total, count = Words(), np.zeros((0, DIMENSIONS), np.int64), np.zeros(0, np.int64)
+
+def places_of(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Where each hash stands among the sorted ``known``; -1 where it doesn't."""
+    if not len(known):
+        return np.full(len(hashes), -1)
+    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+    return np.where(known[at] == hashes, at, -1)
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    words, count = Words(), np.zeros(0, np.int64)
 
     def out() -> Iterator[pa.RecordBatch]:
-        for i in range(0, len(total), 4096):
-            values = list_array(total[i : i + 4096].ravel(), np.full(len(total[i : i + 4096]), DIMENSIONS), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(words.hashes[i : i + 4096].view(np.int64)), pa.array(count[i : i + 4096]), values], names=["word", "n", "v"])
+        for i in range(0, len(count), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(words.hashes[i : i + 100_000].view(np.int64)), pa.array(count[i : i + 100_000])], names=["word", "n"])
 
     for batch in batches:
         for _, texts in chunks(batch, most_chars=1_000_000):
-            flat, starts = words.read(texts)
-            new = len(words.hashes) - len(total)
-            total, count = np.concatenate([total, np.zeros((new, DIMENSIONS), np.int64)]), np.concatenate([count, np.zeros(new, np.int64)])
-            count += np.bincount(flat, minlength=len(count))
-            a, b, n = neighbours(flat, starts, len(count))
-            for i in range(0, len(a), 200_000):
-                s = slice(i, i + 200_000)
-                rows, at = np.unique(a[s], return_index=True)  # a is sorted
-                total[rows] += np.add.reduceat(words.index[b[s]] * n[s, None], at)
+            flat, _ = words.read(texts)
+            now = np.bincount(flat, minlength=len(words.hashes))
+            now[: len(count)] += count
+            count = now
             if words.full():
                 yield from out()
-                words, total, count = Words(), total[:0], count[:0]
+                words, count = Words(), count[:0]
     yield from out()
 
 
+def often_words(docs: DataFrame, most_words: int) -> np.ndarray:
+    """The sorted hashes of the words that are at least one in ``most_words`` tokens."""
+    parts = docs.select("text").mapInArrow(_counts, "word long, n long")
+    found = written(parts.groupBy("word").agg(F.sum("n").alias("n")), "quality-words")
+    total = found.agg(F.sum("n")).first()[0] or 0
+    # shares that add up to 1 at most: most_words rows at most
+    rows = found.where(F.col("n") >= total / most_words).select("word").toPandas()
+    discard(found)
+    return np.sort(rows["word"].to_numpy(np.int64).view(np.uint64))
+
+
 def unit(v: np.ndarray) -> np.ndarray:
     return (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
@@ -146,30 +167,34 @@ def unit(v: np.ndarray) -> np.ndarray:
 def word_vectors(docs: DataFrame, most_words: int = MOST_WORDS) -> tuple[np.ndarray, np.ndarray]:
     """The sorted hashes of the words that are at least one in ``most_words`` tokens of all
     documents, and their vectors, scaled to unit length."""
-    parts = docs.select("text").mapInArrow(_contexts, "word long, n long, v array<long>")
-    sums = [F.sum(F.col("v")[k]).alias(f"v{k}") for k in range(DIMENSIONS)]
-    found = written(parts.groupBy("word").agg(F.sum("n").alias("n"), *sums), "quality-words")
-    total = found.agg(F.sum("n")).first()[0] or 0
-    # shares that add up to 1 at most: most_words rows at most
-    rows = found.where(F.col("n") >= total / most_words).drop("n").toPandas()
-    discard(found)
-    hashes = rows["word"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(hashes)
-    return hashes[order], unit(rows.drop(columns="word").to_numpy(np.float64))[order]
+    known = often_words(docs, most_words)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, total = Words(), np.zeros((len(known), DIMENSIONS), np.int64)
+        for batch in batches:
+            for _, texts in chunks(batch, most_chars=1_000_000):
+                flat, starts = words.read(texts)
+                place = places_of(words.hashes, known)[flat]
+                some = np.flatnonzero(place >= 0)
+                if len(some):
+                    rows, sums = summed(place[some], contexts(flat, starts, some, words.index))
+                    total[rows] += sums
+                if words.full():
+                    words = Words()
+        some = np.flatnonzero(total.any(axis=1))
+        for i in range(0, len(some), 4096):
+            rows = some[i : i + 4096]
+            values = list_array(total[rows].ravel(), np.full(len(rows), DIMENSIONS), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(rows.astype(np.int32)), values], names=["place", "v"])
 
-N_FEATURES = 2 * DIMENSIONS + 3
+    parts = docs.select("text").mapInArrow(run, "place int, v array<long>")
+    found = parts.groupBy("place").agg(*[F.sum(F.col("v")[k]).alias(f"v{k}") for k in range(DIMENSIONS)]).toPandas()  # most_words rows at most
+    out = np.zeros((len(known), DIMENSIONS))
+    out[found["place"].to_numpy(int)] = found.drop(columns="place").to_numpy()
+    return known, unit(out)
 
 
-def own_contexts(flat: np.ndarray, starts: np.ndarray, places: np.ndarray, index: np.ndarray) -> np.ndarray:
-    """The sum of the index vectors around each of the given places of the texts."""
-    end = np.repeat(starts[1:], np.diff(starts))[places]
-    begin = np.repeat(starts[:-1], np.diff(starts))[places]
-    out = index[flat[places]]
-    for d in (d for k in range(1, REACH + 1) for d in (-k, k)):
-        inside = (places + d >= begin) & (places + d < end)
-        out[inside] += index[flat[places[inside] + d]]
-    return out
+N_FEATURES = 2 * DIMENSIONS + 3
 
 
 def pooled(texts: list, words: Words, known: np.ndarray, vectors: np.ndarray) -> np.ndarray:
@@ -179,8 +204,7 @@ def pooled(texts: list, words: Words, known: np.ndarray, vectors: np.ndarray) ->
     out = np.zeros((len(texts), N_FEATURES), np.float32)
     some = np.flatnonzero(n)
     if len(some):
-        place = np.minimum(np.searchsorted(known, words.hashes), max(len(known) - 1, 0))
-        place = np.where(known[place] == words.hashes, place, -1) if len(known) else np.full(len(words.hashes), -1)
+        place = places_of(words.hashes, known)
         width = len(words.hashes)
         token = np.repeat(np.arange(len(texts)), n) * width + flat
         # one entry for each distinct word of a text, with its count
@@ -189,11 +213,8 @@ def pooled(texts: list, words: Words, known: np.ndarray, vectors: np.ndarray) ->
         v = vectors[place[word]] if len(known) else np.zeros((len(key), DIMENSIONS), np.float32)
         rare = np.flatnonzero(place[flat] < 0)
         if len(rare):
-            entry = np.searchsorted(key, token[rare])
-            order = np.argsort(entry, kind="stable")
-            rare, entry = rare[order], entry[order]
-            at = np.flatnonzero(np.concatenate([[True], entry[1:] != entry[:-1]]))
-            v[entry[at]] = unit(np.add.reduceat(own_contexts(flat, starts, rare, words.index), at, dtype=np.int64))
+            entry, around = summed(np.searchsorted(key, token[rare]), contexts(flat, starts, rare, words.index))
+            v[entry] = unit(around)
         # numbers of words differ by task, so sums are taken in the order of their hashes
         order = np.lexsort((words.hashes[word], owner))
         v, count, owner = v[order], count[order], owner[order]
