@@ -32,7 +32,9 @@ empty result; other columns are not read.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -92,12 +94,16 @@ class Words(dict):
         """All tokens' words, and where each text's begin (with the end of the last)."""
         lists = [_TOKEN.findall(t) if t else [] for t in texts]
         starts = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
-        flat = np.fromiter((self[w] for x in lists for w in x), np.int64, int(starts[-1]))
+        flat = np.fromiter(map(self.__getitem__, chain.from_iterable(lists)), np.int64, int(starts[-1]))
+        self.settle()
+        return flat, starts
+
+    def settle(self) -> None:
+        """Notes the hashes and index vectors of new words."""
         if self._fresh:
             fresh = np.array(self._fresh, np.uint64)
             self.hashes, self.index = np.concatenate([self.hashes, fresh]), np.concatenate([self.index, index_vectors(fresh)])
             self._fresh = []
-        return flat, starts
 
     def full(self) -> bool:
         return len(self) > self.MOST
@@ -139,8 +145,11 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for _, texts in chunks(batch, most_chars=1_000_000):
-            flat, _ = words.read(texts)
-            now = np.bincount(flat, minlength=len(words.hashes))
+            times = Counter(chain.from_iterable(_TOKEN.findall(t) for t in texts if t))
+            number = np.fromiter(map(words.__getitem__, times), np.int64, len(times))
+            words.settle()
+            # spellings of one word share its number
+            now = np.bincount(number, np.fromiter(times.values(), np.int64, len(times)), len(words.hashes)).astype(np.int64)
             now[: len(count)] += count
             count = now
             if words.full():
