@@ -21,3 +21,11 @@ def test_bounds_go_to_python_as_text(spark):
     docs = spark.createDataFrame([(1, "mail a@corp.com and b@corp.com")], "doc_id long, text string")
     plan = resolve.resolved(docs)._jdf.queryExecution().analyzed().toString()
     assert "_free(array_join(" in plan
+
+
+def test_prompts_of_one_file_are_scanned_by_many_tasks(spark):
+    from textguard.plans.prompts import inputs
+
+    rows = inputs(spark, "/root/testdata/sf0.001").where("doc_id < 0")
+    sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert len(sizes) == int(spark.conf.get("spark.sql.shuffle.partitions")) and max(sizes) < sum(sizes) / 2
