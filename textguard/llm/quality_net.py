@@ -111,12 +111,14 @@ class Words(dict):
 
 def contexts(flat: np.ndarray, starts: np.ndarray, places: np.ndarray, index: np.ndarray) -> np.ndarray:
     """The sum of the index vectors around each of the given places of the texts."""
-    end = np.repeat(starts[1:], np.diff(starts))[places]
-    begin = np.repeat(starts[:-1], np.diff(starts))[places]
-    out = index[flat[places]]
+    # words without a vector stand between the texts, so that no neighbour is beyond one
+    shift = REACH * (1 + np.repeat(np.arange(len(starts) - 1), np.diff(starts)))
+    apart = np.full(len(flat) + REACH * len(starts), len(index))
+    apart[np.arange(len(flat)) + shift] = flat
+    at, index = places + shift[places], np.concatenate([index, np.zeros((1, DIMENSIONS), index.dtype)])
+    out = index[apart[at]]
     for d in (d for k in range(1, REACH + 1) for d in (-k, k)):
-        inside = (places + d >= begin) & (places + d < end)
-        out[inside] += index[flat[places[inside] + d]]
+        out += index[apart[at + d]]
     return out
 
 
@@ -214,19 +216,21 @@ def pooled(texts: list, words: Words, known: np.ndarray, vectors: np.ndarray) ->
     some = np.flatnonzero(n)
     if len(some):
         place = places_of(words.hashes, known)
-        width = len(words.hashes)
-        token = np.repeat(np.arange(len(texts)), n) * width + flat
+        # numbers of words differ by task, so sums are taken in the order of their hashes
+        used = np.flatnonzero(np.bincount(flat, minlength=len(words.hashes)))
+        used = used[np.argsort(words.hashes[used])]
+        rank, width = np.zeros(len(words.hashes), np.int64), len(used)
+        rank[used] = np.arange(width)
+        token = np.repeat(np.arange(len(texts)) * width, n) + rank[flat]
         # one entry for each distinct word of a text, with its count
         key, count = np.unique(token, return_counts=True)
-        owner, word = key // width, key % width
+        owner = key // width
+        word = used[key - owner * width]
         v = vectors[place[word]] if len(known) else np.zeros((len(key), DIMENSIONS), np.float32)
         rare = np.flatnonzero(place[flat] < 0)
         if len(rare):
             entry, around = summed(np.searchsorted(key, token[rare]), contexts(flat, starts, rare, words.index))
             v[entry] = unit(around)
-        # numbers of words differ by task, so sums are taken in the order of their hashes
-        order = np.lexsort((words.hashes[word], owner))
-        v, count, owner = v[order], count[order], owner[order]
         at = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
         w = (count / n[owner])[:, None].astype(np.float32)
         mean = np.add.reduceat(v * w, at)
