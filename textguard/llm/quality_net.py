@@ -18,7 +18,8 @@ numpy scores it; a temperature fitted on labelled rows that the weights did not
 see calibrates the probabilities.
 
 The network is fitted on at most SAMPLE_DOCS labelled documents, drawn by a hash
-of their ids. Three passes over the texts: words are counted, the frequent ones'
+of their ids. The texts are read once, and their words written as numbers, a row for
+some texts each. Three passes over these: words are counted, the frequent ones'
 neighbours summed, documents pooled. What is shuffled is a count for each distinct
 word and a vector for each frequent one of each task.
 
@@ -32,7 +33,6 @@ empty result; other columns are not read.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
@@ -124,8 +124,9 @@ def contexts(flat: np.ndarray, starts: np.ndarray, places: np.ndarray, index: np
 
 def summed(group: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct groups, sorted, and the sum of each one's rows."""
-    order = np.argsort(group, kind="stable")
-    group = group[order]
+    # sums of whole numbers, in any order; one number for group and place sorts faster
+    both = np.sort(group.astype(np.int64) << 32 | np.arange(len(group)))
+    group, order = both >> 32, both & 0xFFFFFFFF
     at = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
     return group[at], np.add.reduceat(rows[order], at, dtype=np.int32)
 
@@ -138,31 +139,66 @@ def places_of(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
     return np.where(known[at] == hashes, at, -1)
 
 
+#: A row for each slice of texts: its documents, the sorted hashes of its words, which of them each token is, and where
+#: each text's tokens begin (with the end of the last), as bytes.
+READ = "doc_id array<long>, held_out array<boolean>, hashes binary, code binary, starts binary"
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    words = Words()
+    for batch in batches:
+        for rows, texts in chunks(batch, most_chars=1_000_000):
+            flat, starts = words.read(texts)
+            used = np.flatnonzero(np.bincount(flat, minlength=len(words.hashes)))
+            used = used[np.argsort(words.hashes[used])]
+            kind = np.uint16 if len(used) <= 1 << 16 else np.uint32
+            rank = np.zeros(len(words.hashes), kind)
+            rank[used] = np.arange(len(used))
+            ends = pa.array([0, rows.num_rows], pa.int32())
+            own = [pa.ListArray.from_arrays(ends, pa.concat_arrays([rows.column(c)])) for c in ("doc_id", "held_out")]
+            raw = [pa.array([x.tobytes()], pa.binary()) for x in (words.hashes[used], rank[flat], starts)]
+            yield pa.RecordBatch.from_arrays([*own, *raw], names=["doc_id", "held_out", "hashes", "code", "starts"])
+            if words.full():
+                words = Words()
+
+
+def read_words(docs: DataFrame) -> DataFrame:
+    """The words of ``docs`` (doc_id, held_out, text) as a written table of columns READ."""
+    return written(docs.select("doc_id", "held_out", "text").mapInArrow(_read, READ), "quality-read")
+
+
+def slices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(sorted hashes of words, the word of each token, where each text's begin) of each row of columns READ."""
+    for hashes, code, starts in zip(*(batch.column(c) for c in ("hashes", "code", "starts")), strict=True):
+        known = np.frombuffer(hashes.as_buffer(), np.uint64)
+        kind = np.uint16 if len(known) <= 1 << 16 else np.uint32
+        yield known, np.frombuffer(code.as_buffer(), kind).astype(np.int64), np.frombuffer(starts.as_buffer(), np.int64)
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words, count = Words(), np.zeros(0, np.int64)
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
 
     def out() -> Iterator[pa.RecordBatch]:
-        for i in range(0, len(count), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(words.hashes[i : i + 100_000].view(np.int64)), pa.array(count[i : i + 100_000])], names=["word", "n"])
+        word, place = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
+        n = np.bincount(place, np.concatenate([x for _, x in held])).astype(np.int64)
+        for i in range(0, len(word), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(word[i : i + 100_000].view(np.int64)), pa.array(n[i : i + 100_000])], names=["word", "n"])
 
     for batch in batches:
-        for _, texts in chunks(batch, most_chars=1_000_000):
-            times = Counter(chain.from_iterable(_TOKEN.findall(t) for t in texts if t))
-            number = np.fromiter(map(words.__getitem__, times), np.int64, len(times))
-            words.settle()
-            # spellings of one word share its number
-            now = np.bincount(number, np.fromiter(times.values(), np.int64, len(times)), len(words.hashes)).astype(np.int64)
-            now[: len(count)] += count
-            count = now
-            if words.full():
+        for hashes, flat, _ in slices(batch):
+            held.append((hashes, np.bincount(flat, minlength=len(hashes))))
+            size += len(hashes)
+            if size > 1_000_000:
                 yield from out()
-                words, count = Words(), count[:0]
-    yield from out()
+                held, size = [], 0
+    if size:
+        yield from out()
 
 
-def often_words(docs: DataFrame, most_words: int) -> np.ndarray:
-    """The sorted hashes of the words that are at least one in ``most_words`` tokens."""
-    parts = docs.select("text").mapInArrow(_counts, "word long, n long")
+def often_words(read: DataFrame, most_words: int) -> np.ndarray:
+    """The sorted hashes of the words that are at least one in ``most_words`` tokens of a table of columns READ."""
+    parts = read.select("hashes", "code", "starts").mapInArrow(_counts, "word long, n long")
     found = written(parts.groupBy("word").agg(F.sum("n").alias("n")), "quality-words")
     total = found.agg(F.sum("n")).first()[0] or 0
     # shares that add up to 1 at most: most_words rows at most
@@ -178,27 +214,32 @@ def unit(v: np.ndarray) -> np.ndarray:
 def word_vectors(docs: DataFrame, most_words: int = MOST_WORDS) -> tuple[np.ndarray, np.ndarray]:
     """The sorted hashes of the words that are at least one in ``most_words`` tokens of all
     documents, and their vectors, scaled to unit length."""
-    known = often_words(docs, most_words)
+    read = read_words(docs.select(F.lit(None).cast("long").alias("doc_id"), F.lit(False).alias("held_out"), "text"))
+    out = vectors_of(read, most_words)
+    discard(read)
+    return out
+
+
+def vectors_of(read: DataFrame, most_words: int = MOST_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`word_vectors` of a table of columns READ."""
+    known = often_words(read, most_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, total = Words(), np.zeros((len(known), DIMENSIONS), np.int64)
+        total = np.zeros((len(known), DIMENSIONS), np.int64)
         for batch in batches:
-            for _, texts in chunks(batch, most_chars=1_000_000):
-                flat, starts = words.read(texts)
-                place = places_of(words.hashes, known)[flat]
+            for hashes, flat, starts in slices(batch):
+                place = places_of(hashes, known)[flat]
                 some = np.flatnonzero(place >= 0)
                 if len(some):
-                    rows, sums = summed(place[some], contexts(flat, starts, some, words.index))
+                    rows, sums = summed(place[some], contexts(flat, starts, some, index_vectors(hashes)))
                     total[rows] += sums
-                if words.full():
-                    words = Words()
         some = np.flatnonzero(total.any(axis=1))
         for i in range(0, len(some), 4096):
             rows = some[i : i + 4096]
             values = list_array(total[rows].ravel(), np.full(len(rows), DIMENSIONS), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(rows.astype(np.int32)), values], names=["place", "v"])
 
-    parts = docs.select("text").mapInArrow(run, "place int, v array<long>")
+    parts = read.select("hashes", "code", "starts").mapInArrow(run, "place int, v array<long>")
     found = parts.groupBy("place").agg(*[F.sum(F.col("v")[k]).alias(f"v{k}") for k in range(DIMENSIONS)]).toPandas()  # most_words rows at most
     out = np.zeros((len(known), DIMENSIONS))
     out[found["place"].to_numpy(int)] = found.drop(columns="place").to_numpy()
@@ -211,25 +252,30 @@ N_FEATURES = 2 * DIMENSIONS + 3
 def pooled(texts: list, words: Words, known: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     """The features of texts; ``known`` are the sorted hashes of the words that ``vectors`` are of."""
     flat, starts = words.read(texts)
+    # numbers of words differ by task, so sums are taken in the order of their hashes
+    used = np.flatnonzero(np.bincount(flat, minlength=len(words.hashes)))
+    used = used[np.argsort(words.hashes[used])]
+    rank = np.zeros(len(words.hashes), np.int64)
+    rank[used] = np.arange(len(used))
+    return features(words.hashes[used], rank[flat], starts, known, vectors)
+
+
+def features(hashes: np.ndarray, flat: np.ndarray, starts: np.ndarray, known: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """The features of texts whose tokens are the words ``flat`` among the sorted ``hashes``."""
     n = np.diff(starts)
-    out = np.zeros((len(texts), N_FEATURES), np.float32)
+    out = np.zeros((len(n), N_FEATURES), np.float32)
     some = np.flatnonzero(n)
     if len(some):
-        place = places_of(words.hashes, known)
-        # numbers of words differ by task, so sums are taken in the order of their hashes
-        used = np.flatnonzero(np.bincount(flat, minlength=len(words.hashes)))
-        used = used[np.argsort(words.hashes[used])]
-        rank, width = np.zeros(len(words.hashes), np.int64), len(used)
-        rank[used] = np.arange(width)
-        token = np.repeat(np.arange(len(texts)) * width, n) + rank[flat]
+        place, width = places_of(hashes, known), len(hashes)
+        token = np.repeat(np.arange(len(n)) * width, n) + flat
         # one entry for each distinct word of a text, with its count
         key, count = np.unique(token, return_counts=True)
         owner = key // width
-        word = used[key - owner * width]
+        word = key - owner * width
         v = vectors[place[word]] if len(known) else np.zeros((len(key), DIMENSIONS), np.float32)
         rare = np.flatnonzero(place[flat] < 0)
         if len(rare):
-            entry, around = summed(np.searchsorted(key, token[rare]), contexts(flat, starts, rare, words.index))
+            entry, around = summed(np.searchsorted(key, token[rare]), contexts(flat, starts, rare, index_vectors(hashes)))
             v[entry] = unit(around)
         at = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
         w = (count / n[owner])[:, None].astype(np.float32)
@@ -244,22 +290,17 @@ def pooled(texts: list, words: Words, known: np.ndarray, vectors: np.ndarray) ->
     return out
 
 
-def document_features(docs: DataFrame, known: np.ndarray, vectors: np.ndarray) -> DataFrame:
-    """doc_id, held_out and the features of every document."""
+def document_features(read: DataFrame, known: np.ndarray, vectors: np.ndarray) -> DataFrame:
+    """doc_id, held_out and the features of every document of a table of columns READ."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
         for batch in batches:
-            for rows, texts in chunks(batch, most_chars=1_000_000):
-                x = pooled(texts, words, known, vectors)
-                if words.full():
-                    words = Words()
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column("doc_id"), rows.column("held_out"), list_array(x.ravel(), np.full(len(texts), N_FEATURES), pa.float32())],
-                    names=["doc_id", "held_out", "x"],
-                )
+            for i, (hashes, flat, starts) in enumerate(slices(batch)):
+                x = features(hashes, flat, starts, known, vectors)
+                own = [batch.column(c).slice(i, 1).flatten() for c in ("doc_id", "held_out")]
+                yield pa.RecordBatch.from_arrays([*own, list_array(x.ravel(), np.full(len(x), N_FEATURES), pa.float32())], names=["doc_id", "held_out", "x"])
 
-    return docs.mapInArrow(run, "doc_id long, held_out boolean, x array<float>")
+    return read.mapInArrow(run, "doc_id long, held_out boolean, x array<float>")
 
 
 class Network:
@@ -311,8 +352,9 @@ class Network:
 
 def score_documents(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted."""
-    slim = docs.select("doc_id", "text", (bucket_of(F.col("doc_id"), folds) == held).alias("held_out"))
-    featured = written(document_features(slim, *word_vectors(slim)), "quality-features")
+    read = read_words(docs.select(F.col("doc_id").cast("long").alias("doc_id"), (bucket_of(F.col("doc_id"), folds) == held).alias("held_out"), "text"))
+    featured = written(document_features(read, *vectors_of(read)), "quality-features")
+    discard(read)
     marks = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (bucket_of(F.col("doc_id"), folds) != held))
     marks = written(marks.groupBy("doc_id").agg(F.max("quality").alias("y")), "quality-marks")
     # drawn by a hash: no task hands on more than its part of the sample
