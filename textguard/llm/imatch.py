@@ -61,6 +61,60 @@ def distinct_terms(texts: list, cache: WordHashes) -> tuple[np.ndarray, np.ndarr
     return owner[new], flat[new]
 
 
+class Pieces(dict):
+    """Numbers for the pieces between white space of some texts, each of them lowered and taken
+    apart into terms once; no term holds white space, and lowering looks at no other piece."""
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = out = len(self)
+        return out
+
+    def terms(self, cache: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(terms, places, starts): the sorted terms of all pieces, and those of each piece as places
+        among them, with where each piece's begin (and the end of the last)."""
+        lists = [_TERM.findall(p.lower()) for p in self]  # in the order of their numbers
+        starts = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
+        flat = np.fromiter((cache[w] for x in lists for w in x), np.uint64, int(starts[-1]))
+        terms, places = np.unique(flat, return_inverse=True)
+        return terms, places, starts
+
+
+def distinct_places(lists: list[np.ndarray], width: int, places: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, place) for the distinct terms of texts given by their pieces, sorted by both."""
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    piece = np.concatenate([np.zeros(0, np.int64), *lists])
+    n = np.diff(starts)[piece]
+    at = np.repeat(starts[piece] - np.cumsum(n) + n, n) + np.arange(n.sum())
+    key = np.sort(np.repeat(np.repeat(np.arange(len(lists)), sizes), n) * max(width, 1) + places[at])
+    key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
+    owner = key // max(width, 1)
+    return owner, key - owner * width
+
+
+def pieces_of(texts: list, pieces: Pieces) -> list[np.ndarray]:
+    """The pieces of each text, in order."""
+    number = pieces.__getitem__
+    return [np.array([*map(number, t.split())] if t else [], np.int64) for t in texts]
+
+
+def edited_pieces(texts: list[str], lists: list[np.ndarray], pieces: Pieces) -> list[np.ndarray]:
+    """The pieces of each text but the last, once :func:`edited` by the one that follows: those of
+    the two texts, but where a piece is cut."""
+    out = []
+    for i in range(len(texts) - 1):
+        k = len(texts[i]) // 4
+        head, tail = texts[i][: len(texts[i]) - k], texts[i + 1][:k]
+        a, b = head.split(), tail.split()
+        whole = max(len(b) - 1, 0)
+        if a and b and not (head[-1].isspace() or tail[0].isspace()):  # the last piece and the first are one
+            middle, own, rest = [a[-1] + b[0]], lists[i + 1][1:whole], b[1:][-1:]
+        else:
+            middle, own, rest = a[-1:], lists[i + 1][:whole], b[-1:]
+        cut = [np.array([pieces[p] for p in x], np.int64) for x in (middle, rest)]
+        out.append(np.concatenate([lists[i][: max(len(a) - 1, 0)], cut[0], own, cut[1]]))
+    return out
+
+
 def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cache = WordHashes()
     held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -112,20 +166,31 @@ def set_hashes(owner: np.ndarray, term: np.ndarray, n: int) -> np.ndarray:
 
 def fingerprints(texts: list, lexicon: np.ndarray, cache: WordHashes) -> tuple[np.ndarray, np.ndarray]:
     """(hash of all terms, hashes[text, rate, subset]) of each text; 0 where no term is kept."""
-    owner, term = distinct_terms(texts, cache)
-    n = len(texts)
+    pieces = Pieces()
+    lists = pieces_of(texts, pieces)
+    return piece_fingerprints(lists, *pieces.terms(cache), lexicon)
+
+
+def piece_fingerprints(lists: list[np.ndarray], terms: np.ndarray, places: np.ndarray, starts: np.ndarray, lexicon: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`fingerprints` of texts given by their pieces."""
+    owner, place = distinct_places(lists, len(terms), places, starts)
+    n = len(lists)
     if len(lexicon):
-        at = np.minimum(np.searchsorted(lexicon, term), len(lexicon) - 1)
-        known = lexicon[at] == term
+        at = np.minimum(np.searchsorted(lexicon, terms), len(lexicon) - 1)
+        known = (lexicon[at] == terms)[place]
         use = known | (np.bincount(owner[known], minlength=n) == 0)[owner]
-        owner, term = owner[use], term[use]
+        owner, place = owner[use], place[use]
+    term = terms[place]
     out = np.zeros((n, len(RATES), SUBSETS), np.uint32)
     for k in range(SUBSETS):
-        draw, some, terms = mix(term ^ _SEEDS[k]), owner, term
-        for j, rate in enumerate(RATES):
-            kept = draw <= np.uint64(2**64 - 1) >> np.uint64(rate)
-            draw, some, terms = draw[kept], some[kept], terms[kept]
-            found = set_hashes(some, terms, n)
+        # drawn once for a term, not for each text that holds it
+        draw = mix(terms ^ _SEEDS[k])
+        rates = sum((draw <= np.uint64(2**64 - 1) >> np.uint64(rate)).astype(np.uint8) for rate in RATES)[place]
+        some, left = owner, term
+        for j in range(len(RATES)):
+            kept = np.flatnonzero(rates > j)
+            rates, some, left = rates[kept], some[kept], left[kept]
+            found = set_hashes(some, left, n)
             out[:, j, k] = np.where(found != 0, found >> np.uint64(32) | np.uint64(1), found)
     return set_hashes(owner, term, n), out
 
@@ -192,8 +257,12 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
         """Of all texts but the last, each followed by the one after it; None in ids ends a range."""
         now = [i for i in range(len(texts) - 1) if ids[i] is not None]
         made = [edited(texts[i], texts[i + 1]) for i in now]
-        base = fingerprints(texts, terms, cache)
-        new = fingerprints(made, terms, cache)
+        pieces = Pieces()
+        lists = pieces_of(texts, pieces)
+        after_edit = edited_pieces(texts, lists, pieces)
+        known = pieces.terms(cache)
+        base = piece_fingerprints(lists, *known, terms)
+        new = piece_fingerprints([after_edit[i] for i in now], *known, terms)
         own, after = (tuple(x[np.array(now, np.int64) + k] for x in base) for k in (0, 1))
         return pa.RecordBatch.from_arrays(
             [
